@@ -217,7 +217,7 @@ def train(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
         raise ValueError(f"more than {LANGUAGES} languages")
     if not sizes:
         return Model.fit({})
-    bound = docs.sparkSession.createDataFrame([(k, int(((1 << 63) - 1) * min(1.0, sample / n))) for k, n in sizes.items()], "lang string, bound long")
+    bound = docs.sparkSession.createDataFrame([(k, ((1 << 63) - 1) * min(n, sample) // n) for k, n in sizes.items()], "lang string, bound long")
     chosen = rows.join(F.broadcast(bound), "lang").where(F.shiftrightunsigned(F.xxhash64("id"), 1) <= F.col("bound")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -117,10 +117,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     total = marked.count()
     hashed = F.shiftrightunsigned(F.xxhash64("id"), 1)
     if total > sample:
-        marked = marked.where(hashed < F.lit(int((1 << 63) * (sample / total))))
+        marked = marked.where(hashed < F.lit(((1 << 63) - 1) * sample // total))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if total > sample:
-        texts = texts.where(hashed < F.lit(int((1 << 63) * (sample / total))))
+        texts = texts.where(hashed < F.lit(((1 << 63) - 1) * sample // total))
     rows = texts.join(marked, "id").select("id", "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
