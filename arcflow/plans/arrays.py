@@ -1,0 +1,32 @@
+"""Loops over graphs that fit one task, as array operations."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+
+class Links:
+    """Weighted links between dense positions of sorted node ids."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> None:
+        self.ids, where = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        self.src, self.dst, self.weight = where[: len(src)], where[len(src) :], weight
+
+    def gather(self, value: np.ndarray) -> np.ndarray:
+        """Weighted sum over each node's in-links."""
+        return np.bincount(self.dst, value[self.src] * self.weight, len(self.ids))
+
+
+def run_in_task(links: DataFrame, loop: Callable[[Links], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """Apply `loop` to all of `links` (src, dst, weight) in one task; the caller has checked their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst", "weight")) for batch in batches]
+        if parts:
+            yield pa.RecordBatch.from_pydict(loop(Links(*map(np.concatenate, zip(*parts, strict=True)))))
+
+    return links.select("src", "dst", "weight").repartition(1).mapInArrow(run, schema)
