@@ -21,7 +21,7 @@ def graph_of(spark: SparkSession, sf_dir: str, view: str) -> Graph:
 
 
 def _rounded(ranks: DataFrame) -> DataFrame:
-    return ranks.select("id", F.round("value", 6).alias("value"))
+    return ranks.select("id", F.round("value", 9).alias("value"))
 
 
 def _over(view: str, compute: Callable[[Graph], DataFrame]) -> Query:
@@ -41,7 +41,7 @@ def _adjacency(graph: Graph) -> DataFrame:
 
 
 def _messages(graph: Graph) -> DataFrame:
-    return fixed.messages(graph, fixed.start(graph)).select("src", "dst", F.round("message", 6).alias("message"))
+    return fixed.messages(graph, fixed.start(graph)).select("src", "dst", F.round("message", 9).alias("message"))
 
 
 def queries() -> dict[str, Query]:
@@ -91,16 +91,16 @@ def _prelude(view: str) -> str:
     )
 
 
-def _sync_sql(view: str, rounds: int, tail: str = "select id, round(v, 6) as value from pr where it = {n}") -> str:
+def _sync_sql(view: str, rounds: int, tail: str = "select id, round(v, 9) as value from pr where it = {n}") -> str:
     return _prelude(view) + f", pr(it, id, v) as (select 0, id, 0.85::double from nodes union all select it + 1, id, 0.15 + 0.85 * sum(m) from (select pr.it, w.dst id, pr.v * w.w m from pr join w on w.src = pr.id where pr.it < {rounds} union all select it, id, 0.0 from pr where it < {rounds}) group by it, id) " + tail.format(n=rounds)
 
 
 def _linf_sql(view: str) -> str:
     going = "exists (select 1 from pr where d > 0.0015)"
-    return _prelude(view) + f", pr(it, id, v, d) as (select 0, id, 0.85::double, 1.0::double from nodes union all select it + 1, id, 0.15 + 0.85 * sum(m), abs(0.15 + 0.85 * sum(m) - max(ov)) from (select pr.it, w.dst id, pr.v * w.w m, null::double ov from pr join w on w.src = pr.id where {going} union all select it, id, 0.0, v from pr where {going}) group by it, id) select id, round(v, 6) as value from pr where it = (select max(it) from pr)"
+    return _prelude(view) + f", pr(it, id, v, d) as (select 0, id, 0.85::double, 1.0::double from nodes union all select it + 1, id, 0.15 + 0.85 * sum(m), abs(0.15 + 0.85 * sum(m) - max(ov)) from (select pr.it, w.dst id, pr.v * w.w m, null::double ov from pr join w on w.src = pr.id where {going} union all select it, id, 0.0, v from pr where {going}) group by it, id) select id, round(v, 9) as value from pr where it = (select max(it) from pr)"
 
 
-def _async_sql(view: str, repeats: int = 1, tail: str = "select id, round(v, 6) as value from pr where it = (select max(it) from pr)") -> str:
+def _async_sql(view: str, repeats: int = 1, tail: str = "select id, round(v, 9) as value from pr where it = (select max(it) from pr)") -> str:
     going = "exists (select 1 from pr where act)"
     return (
         _prelude(view)
@@ -115,7 +115,7 @@ def _walk_sql(view: str, replicas: int = 1, length: int = 100) -> str:
         _prelude(view)
         + ", adj as materialized (select src, list(dst order by dst) nbrs, count(*) d from edges group by src)"
         + f", wk(t, r, source, cur) as (select 0, r, id, id from nodes, range({replicas}) x(r) union all select t + 1, r, source, case when {draw.format(slot='a')} < 0.85 then coalesce(nbrs[floor({draw.format(slot='b')} * d)::bigint + 1], cur) else source end from wk left join adj on adj.src = wk.cur where t < {length})"
-        + f" select id, round(count(t)::double / {length * replicas}, 6) as value from nodes left join (select * from wk where t > 0) on cur = id group by id"
+        + f" select id, round(count(t)::double / {length * replicas}, 9) as value from nodes left join (select * from wk where t > 0) on cur = id group by id"
     )
 
 
@@ -123,7 +123,7 @@ def _expected_sql(view: str, length: int = 100) -> str:
     return (
         _prelude(view)
         + ", w2 as materialized (select src, dst, w from w union all select id, id, 1.0 from nodes where id not in (select src from deg))"
-        + f", pr(it, id, v) as (select 0, id, 1.0::double from nodes union all select it + 1, id, 0.15 + 0.85 * sum(m) from (select pr.it, w2.dst id, pr.v * w2.w m from pr join w2 on w2.src = pr.id where pr.it < {length} union all select it, id, 0.0 from pr where it < {length}) group by it, id) select id, round(sum(v) / {length}, 6) as value from pr where it > 0 group by id"
+        + f", pr(it, id, v) as (select 0, id, 1.0::double from nodes union all select it + 1, id, 0.15 + 0.85 * sum(m) from (select pr.it, w2.dst id, pr.v * w2.w m from pr join w2 on w2.src = pr.id where pr.it < {length} union all select it, id, 0.0 from pr where it < {length}) group by it, id) select id, round(sum(v) / {length}, 9) as value from pr where it > 0 group by id"
     )
 
 
@@ -138,7 +138,7 @@ def oracle_sql() -> dict[str, str]:
         "csr_offsets": _prelude("part_chain") + offsets.format(end="src"),
         "csc_offsets": _prelude("cust_supp") + offsets.format(end="dst"),
         "adjacency": _prelude("part_chain") + " select src, array_to_string(list(dst order by dst), ',') as nbrs, count(*)::bigint as deg from edges group by src",
-        "edge_messages": _prelude("part_chain") + " select e.src, e.dst, round(0.85::double * 0.85 / d, 6) as message from edges e join deg using (src)",
+        "edge_messages": _prelude("part_chain") + " select e.src, e.dst, round(0.85::double * 0.85 / d, 9) as message from edges e join deg using (src)",
         "sync_step1": _sync_sql("part_chain", 1),
     }
     for view in views.VIEWS:
@@ -159,6 +159,6 @@ def oracle_sql() -> dict[str, str]:
         "mc_replicas3_nation_trade": _walk_sql("nation_trade", 3),
         "mc_expected_part_chain": _expected_sql("part_chain"),
         "mc_expected_cust_supp": _expected_sql("cust_supp"),
-        "node_rank_lookup": _sync_sql("part_chain", 50, "select id, round(v, 6) as value from pr where it = {n} and id = 1"),
-        "rank_top10": _sync_sql("part_chain", 50, "select id, round(v, 6) as value from pr where it = {n} order by round(v, 6) desc, id limit 10"),
+        "node_rank_lookup": _sync_sql("part_chain", 50, "select id, round(v, 9) as value from pr where it = {n} and id = 1"),
+        "rank_top10": _sync_sql("part_chain", 50, "select id, round(v, 9) as value from pr where it = {n} order by round(v, 9) desc, id limit 10"),
     }
