@@ -1 +1 @@
-
+"""No operator of the engine works on streams: ranks are batch computations over a whole graph."""
