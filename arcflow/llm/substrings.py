@@ -273,7 +273,7 @@ def _firsts(dealt: DataFrame, parts: Parts, known: tuple[int, int, int, int]) ->
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, inner: int = INNER, depth: int = DEPTH) -> DataFrame:
-    """One row per document row: its id, n_words, n_removed, kept_text (kept words joined by one space)."""
+    """One row per document row: its id, text_hash (xxhash64 of the text), n_words, n_removed, kept_text (kept words joined by one space)."""
     inner = min(inner, window)
     parts = Parts(docs.sparkSession)
     rows = numbered(docs, parts, id_col, text_col)
@@ -285,7 +285,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told = cut(_answers(_sketches(rows, parts, bits, window, inner, depth), parts).unionByName(_copies(rows, parts)))
     texts = bundles(rows, parts, 3)
     firsts = cut(_firsts(parts.deal(told.unionByName(texts)), parts, known))
-    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
+    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, mine in destinations(stream(batches)):
@@ -310,11 +310,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         np.add.at(cover, first + window, -1)
                     removed = np.cumsum(cover[:-1]) > 0
                     running = np.concatenate(([0], np.cumsum(removed)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NULL_ID), pa.array(words.counts), pa.array(np.diff(running[words.bounds])), _joined(words, ~removed)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NULL_ID), pa.array(hashes), pa.array(words.counts), pa.array(np.diff(running[words.bounds])), _joined(words, ~removed)], schema=schema)
 
     # A part's documents meet what it was told and its first occurrences.
-    done = parts.deal(told.unionByName(firsts).unionByName(texts)).mapInArrow(finish, "id long, n_words long, n_removed long, kept_text string")
-    return done.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "kept_text")
+    done = parts.deal(told.unionByName(firsts).unionByName(texts)).mapInArrow(finish, "id long, text_hash long, n_words long, n_removed long, kept_text string")
+    return done.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "text_hash", "n_words", "n_removed", "kept_text")
 
 
 def _joined(words: Words, keep: np.ndarray) -> pa.Array:
