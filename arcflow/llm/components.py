@@ -10,18 +10,22 @@ from arcflow.plans.cut import cut
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges for each task of a round; a round on few edges has few tasks and files.
+TASK_EDGES = 50_000
+
+
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Every greater neighbour of a node moves to the smallest of its neighbourhood."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """A node's smaller neighbours and the node itself move to the smallest of them; edges come as (greater, smaller)."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.union(least.select("a", F.col("m").alias("b"))).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -38,7 +42,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == before:
             break
         before = mark
-        current = cut(_small_star(_large_star(current)))
+        tasks = 1 + mark["n"] // TASK_EDGES
+        current = cut(_small_star(_large_star(current, tasks), tasks))
     else:
         raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
