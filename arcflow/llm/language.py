@@ -110,7 +110,7 @@ class Text(NamedTuple):
 
 def read(texts: list[str]) -> Text:
     script, lower = _tables()
-    points = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le"), np.uint32)
+    points = np.frombuffer(("\n" + "\n".join(texts) + "\n" * max(ORDERS)).encode("utf-32-le"), np.uint32)
     rows = np.cumsum([1, *(len(t) + 1 for t in texts)])
     kind = script[points]
     inside = kind > 0
