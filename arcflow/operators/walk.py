@@ -108,11 +108,14 @@ def rank_expected(graph: Graph, length: int = LENGTH, damping: float = DAMPING,
                 total += value
             return {"id": links.ids, "value": total / length}
 
-        return cut(run_in_task(whole.kept_links, loop, "id long, value double"))
+        out = cut(run_in_task(whole.kept_links, loop, "id long, value double"))
+        whole.release()
+        return out
     links, ranks = placed(whole, plan), whole.nodes.select("id", F.lit(1.0).alias("value"))
     total = None
     for _ in range(length):
         ranks = cut(fixed_step(links, ranks, damping, plan == "broadcast").select("id", "value"))
         total = ranks if total is None else cut(total.unionByName(ranks).groupBy("id").agg(F.sum("value").alias("value")))
     links.unpersist()
+    whole.release()
     return total.select("id", (F.col("value") / length).alias("value"))

@@ -25,7 +25,15 @@ def _rounded(ranks: DataFrame) -> DataFrame:
 
 
 def _over(view: str, compute: Callable[[Graph], DataFrame]) -> Query:
-    return lambda spark, sf_dir: compute(graph_of(spark, sf_dir, view))
+    """Compute over a view's graph; ranks are written before the graph's kept links go."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        graph = graph_of(spark, sf_dir, view)
+        out = compute(graph)
+        graph.release()
+        return out
+
+    return query
 
 
 def _raw(view: str, compute: Callable[[DataFrame], DataFrame]) -> Query:
