@@ -90,10 +90,13 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
                 script[point] = 1
                 if len(x := c.lower()) == 1:
                     lower[point] = ord(x)
+    marks = [point for point in np.flatnonzero(script).tolist() if unicodedata.category(chr(point))[0] == "M"]
     for k, ranges in enumerate(SCRIPTS.values(), 2):
         for first, last in ranges:
             part = script[first : last + 1]
             part[part > 0] = k
+    # A mark of no script, such as an emoji's variation selector, is no letter.
+    script[[point for point in marks if script[point] == 1]] = 0
     return script, lower
 
 

@@ -105,14 +105,14 @@ def test_languages(spark):
     rows = [(k, " ".join(rng.choice(samples[g].split()) for _ in range(30)), g) for k, g in enumerate(["en", "de", "ru"] * 20)]
     model = language.train(table(spark, rows), learn=F.col("doc_id") < 50)
     mixed = "the thing that was there and other " * 3 + "und die nicht das werden ist auch " * 3 + "это слово другой"
-    odd = [(100, mixed), (101, None), (102, "123 ..."), (103, "字字"), (104, "")]
+    odd = [(100, mixed), (101, None), (102, "123 ..."), (103, "字字"), (104, ""), (105, "❤️ 7")]
     got = {r["doc_id"]: r for r in language.identify(table(spark, rows + odd + odd[:1]), model).dropDuplicates(["doc_id"]).collect()}
     assert all(got[k]["lang"] == g for k, _, g in rows if k >= 50)
     assert [s["lang"] for s in got[100]["spans"]] == ["en", "de", "ru"]
     assert mixed[got[100]["spans"][1]["begin"] :].startswith(("und", "die", "other"))
-    assert all(got[k]["lang"] == "und" and got[k]["score"] == 0 for k in (101, 102, 104))
+    assert all(got[k]["lang"] == "und" and got[k]["score"] == 0 for k in (101, 102, 104, 105))
     empty = language.train(table(spark, []))
-    assert [r["lang"] for r in language.identify(table(spark, odd), empty).collect()] == ["und"] * 5
+    assert [r["lang"] for r in language.identify(table(spark, odd), empty).collect()] == ["und"] * 6
     assert language.identify(table(spark, []), model).count() == 0
 
 
