@@ -52,9 +52,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         print(error, file=sys.stderr)
         return 1
     spark = spark or SparkSession.builder.appName("arcflow").getOrCreate()
-    coo.register(spark)
     began = time.perf_counter()
-    edges = spark.read.format("coo").option("edges", options.edges).option("nodes", options.nodes).load(options.file)
+    edges = coo.read_coo(spark, options.file, options.edges, options.nodes)
     graph = Graph(edges, spark.range(options.nodes))
     graph.sizes  # noqa: B018
     print(f"loading {(time.perf_counter() - began) * 1e6:.0f} us")

@@ -2,7 +2,9 @@
 
 Such a file is a data source named `coo`: register it with `register(spark)`, then
 `spark.read.format("coo").load(path)`. Each task reads two byte ranges of local or
-mounted files. `write_coo` writes one file from edges sorted by destination.
+mounted files. `read_coo` also reads from stores that only Spark's readers reach, as fixed
+records whose halves meet in a join on their place. `write_coo` writes one file from
+edges sorted by destination.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 CHUNK_EDGES = 4_000_000
@@ -65,6 +68,37 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(CooSource)
 
 
+def read_coo(spark: SparkSession, path: str, edges: int | None = None, nodes: int | None = None) -> DataFrame:
+    """(src, dst) of a file in any store; `edges` and `nodes` are checked if given."""
+    if "://" not in path or path.startswith("file:"):
+        register(spark)
+        options = {k: str(v) for k, v in (("edges", edges), ("nodes", nodes)) if v is not None}
+        return spark.read.format("coo").options(**options).load(path)
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    size = place.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(place).getLen()
+    if size % 8 or (edges is not None and size != 8 * edges):
+        raise ValueError(f"{path} has {size} bytes; a file of E edges has 8 E")
+    total = size // 8
+    if not total:
+        return spark.createDataFrame([], "src long, dst long")
+    width = next(g for g in range(min(total, 4096), 0, -1) if total % g == 0)
+    records = context.binaryRecords(path, 4 * width).zipWithIndex().map(lambda x: (x[1], bytearray(x[0]))).toDF("record long, data binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for record, data in zip(batch.column("record").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                end = np.frombuffer(data, "<i4").astype(np.int64)
+                if end.min() < 0 or (nodes is not None and end.max() >= nodes):
+                    raise ValueError(f"{path} names a node outside 0..{nodes}")
+                yield pa.RecordBatch.from_pydict({"place": record * width + np.arange(width), "node": end})
+
+    ends = records.mapInArrow(run, "place long, node long")
+    sources = ends.where(F.col("place") < total).select("place", F.col("node").alias("src"))
+    targets = ends.where(F.col("place") >= total).select((F.col("place") - total).alias("place"), F.col("node").alias("dst"))
+    return sources.join(targets, "place").select("src", "dst")
+
+
 def write_coo(edges: DataFrame, path: str) -> int:
     """Write one file, by destination then source; the number of edges written. Blocks of edges pass through the driver one by one."""
     ordered = edges.select("src", "dst").orderBy("dst", "src").persist()

@@ -27,6 +27,9 @@ def test_binary_edges_there_and_back(spark, tmp_path):
         spark.read.format("coo").option("edges", 4).load(path).collect()
     with pytest.raises(Exception, match="outside"):
         spark.read.format("coo").option("nodes", 3).load(path).collect()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.far.link./in", f"file://{tmp_path}")
+    assert sorted(tuple(r) for r in coo.read_coo(spark, "viewfs://far/in/e.bin", 5, 4).collect()) == sorted(rows)
+    assert sorted(tuple(r) for r in coo.read_coo(spark, path, 5, 4).collect()) == sorted(rows)
     edges.write_edge_parquet(spark.createDataFrame(rows, "src long, dst long"), str(tmp_path / "p"))
     assert sorted(tuple(r) for r in edges.read_edge_parquet(spark, str(tmp_path / "p")).collect()) == sorted(rows)
 
