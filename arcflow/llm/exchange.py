@@ -31,7 +31,7 @@ BUNDLE_BYTES = 32 << 20
 
 def pack(*arrays: np.ndarray | bytes) -> bytes:
     """Arrays of integers or bytes; integers as byte planes, which compress well if small or sorted and differenced."""
-    out = [x if isinstance(x, bytes) else (x.dtype.str, np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()) for x in arrays]
+    out = [x if isinstance(x, bytes) else (x.dtype.str, np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()) for x in arrays]
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(out))
 
 

@@ -134,7 +134,10 @@ def test_contamination(spark, limit):
     assert decontaminate.find_contamination(table(spark, rows), table(spark, [], "item_id long, text string")).where("n_hit > 0").count() == 0
 
 
-def test_language_model(spark):
+@pytest.mark.parametrize("hot", [0, 4, 10_000])
+def test_language_model(spark, hot, monkeypatch):
+    """Whether no word, some words or all words are frequent, scores are the same."""
+    monkeypatch.setattr(katz, "HOT", hot)
     rows = prose(5, 60)
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
     texts = {i: [*WORD.findall(lower(t)), None] for i, t in rows}
