@@ -25,6 +25,8 @@ from arcflow.llm.words import buffers, slices
 
 ROWS = "dest int, kind int, data binary"
 NULL_ID = -(1 << 63)
+#: Of zstandard; on text, twice the time of level 1 for an eighth less space.
+LEVEL = 3
 #: Text in the documents of one bundle, at most, unless a single one is longer.
 BUNDLE_BYTES = 32 << 20
 
@@ -32,7 +34,7 @@ BUNDLE_BYTES = 32 << 20
 def pack(*arrays: np.ndarray | bytes) -> bytes:
     """Arrays of integers or bytes; integers as byte planes, which compress well if small or sorted and differenced."""
     out = [x if isinstance(x, bytes) else (x.dtype.str, np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()) for x in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(out))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(pickle.dumps(out))
 
 
 def unpack(data: bytes) -> list[np.ndarray | bytes]:
