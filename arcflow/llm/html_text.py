@@ -1,12 +1,17 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped into lines, one for each block; every line keeps its place. Lines in
-menus, headers, footers, asides, forms, adverts, notices, reader comments and hidden
-parts count as empty, and so do lines outside the article where the page marks one
-(article, main). The lengths of text outside links are summed over sliding windows of
-`WINDOW` lines: text starts at a surge, where the sum reaches the threshold, and ends at
-a dive, where it falls to zero. Kept are the lines between surges and dives. In a page
-that marks its article any text is a surge; else a window needs `SURGE` characters.
+Markup is stripped into lines, one for each block. Lines in menus, headers, footers, asides,
+forms, adverts, notices, reader comments and hidden parts are dropped. The other lines fall
+into regions: each outermost element that the page marks as its article (article, main) is
+one, and all lines outside of them are one. In each region the lengths of text outside links
+are summed over sliding windows of `WINDOW` lines, and the longest sums are compared:
+
+* a marked element is kept, whole, if its longest sum is at least 1 / `MARK` of the page's,
+  so that the card of another story isn't taken for the story;
+* the lines outside are kept if their longest sum exceeds that of every marked element. They
+  end at dives, where the sum falls to zero; what lies between two dives is kept if it has a
+  surge, a sum that reaches the threshold, with the lines before it (a short heading). The
+  threshold is `SURGE` characters, or 1 / `MARK` of the page's longest sum where that is less.
 
 Character references are decoded, white space inside a block is one space, blocks are
 trimmed and joined by one space.
@@ -30,6 +35,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 60
+MARK = 4
 
 # Elements of HTML by their role.
 RAW = "script|style|textarea|title|noscript|template|iframe|xmp|noembed|noframes"
@@ -74,12 +80,12 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
     return dropped, main
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters outside links, dropped, in the article) of each line in page order."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+def lines(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, characters outside links, dropped, number of the outermost marked element or 0) of each line in page order."""
+    out: list[tuple[str, int, bool, int]] = []
+    stack: list[tuple[str, bool, int]] = []
     parts: list[str] = []
-    free = links = at = 0
+    free = links = at = marked = 0
 
     def flush() -> None:
         nonlocal free
@@ -89,7 +95,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             text = html.unescape(text)
         text = " ".join(text.split())
         if text:
-            top = stack[-1] if stack else ("", False, False)
+            top = stack[-1] if stack else ("", False, 0)
             out.append((text, min(free, len(text)), top[1], top[2]))
         free = 0
 
@@ -143,33 +149,44 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 stack.pop()
         links = 0
         dropped, main = _marks(tag, m[4])
-        up = stack[-1] if stack else ("", False, False)
+        up = stack[-1] if stack else ("", False, 0)
+        marked += main
         if not m[4].endswith("/>") or tag in MAIN:
-            stack.append((tag, up[1] or dropped, up[2] or main))
+            stack.append((tag, up[1] or dropped, up[2] or marked * main))
     take(page[at:])
     flush()
     return out
 
 
+def _sums(lengths: list[int]) -> np.ndarray:
+    """For each line the length of the window that it begins."""
+    return np.convolve(lengths, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page."""
     found = lines(page or "")
-    marked = any(main and not dropped for _, _, dropped, main in found)
-    live = np.array([not dropped and (main or not marked) for _, _, dropped, main in found], bool)
-    if not live.any():
-        return ""
-    lengths = np.where(live, [len(t) if marked else n for t, n, _, _ in found], 0)
-    sums = np.convolve(lengths, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
-    threshold = 1 if marked else SURGE
-    kept, inside = [], False
-    for k, total in enumerate(sums):
-        if not inside and total >= threshold and lengths[k]:
-            inside = True
-        elif inside and total == 0:
-            inside = False
-        if inside and live[k]:
-            kept.append(found[k][0])
-    return " ".join(kept)
+    regions: dict[int, list[int]] = {}
+    for k, (_, _, dropped, region) in enumerate(found):
+        if not dropped:
+            regions.setdefault(region, []).append(k)
+    sums = {r: _sums([found[k][1] for k in at]) for r, at in regions.items()}
+    most = max((int(s.max()) for s in sums.values()), default=0)
+    most_marked = max((int(s.max()) for r, s in sums.items() if r), default=0)
+    kept: list[int] = []
+    for r, at in regions.items():
+        if r:
+            kept += at if sums[r].max() * MARK >= most else []
+        elif most > most_marked:
+            run, surge, threshold = [], False, min(SURGE, most / MARK)
+            for k, total in zip([*at, -1], [*sums[r].tolist(), 0], strict=True):
+                if total == 0:
+                    kept += run if surge else []
+                    run, surge = [], False
+                elif run or found[k][1]:
+                    run.append(k)
+                    surge |= total >= threshold
+    return " ".join(found[k][0] for k in sorted(kept))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", id_cols: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

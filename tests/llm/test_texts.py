@@ -136,6 +136,21 @@ def test_pages():
     assert len(html_text.main_text("<article>" + "<p>word</p>" * 30000 + "</article>")) == 5 * 30000 - 1
 
 
+def test_pages_windows_weigh_marks():
+    """The story is where the longest windows are; the article mark is a weight."""
+    story = [f"Paragraph {k} of the story says what happened, where it happened and to whom." for k in range(4)]
+    body = "<div><h1>News</h1>" + "".join(f"<p>{x}</p>" for x in story) + "</div>"
+    links = "<div>" + "<p><a href=x>Some other page of this site with a long name</a></p>" * 4 + "</div>"
+    card = "<article><h3><a href=y>Another story</a></h3><p>Its short teaser.</p></article>"
+    want = " ".join(["News", *story])
+    for page in (body, links + body + links, body + card, card * 3 + body + card, links + card + body):
+        assert html_text.main_text(page) == want
+    assert html_text.main_text(body.replace("<p>Paragraph 2", f"{card}<p>Paragraph 2")) == want
+    marked = body.replace("div>", "article>")
+    assert html_text.main_text("<p>A line of the site</p>" + marked + card + "<p>Imprint and address</p>") == want
+    assert html_text.main_text(marked + links + marked) == f"{want} {want}"
+
+
 def test_pages_table(spark):
     rows = [(1, "u", "<article><p>x</p></article>"), (1, "u", "<article><p>x</p></article>"), (2, None, None)]
     got = html_text.extract_text(table(spark, rows, "page_id long, url string, html string")).collect()
