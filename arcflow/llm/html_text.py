@@ -81,7 +81,10 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
 
 
 def lines(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters outside links, dropped, number of the outermost marked element or 0) of each line in page order."""
+    """(text, characters outside links, dropped, number of the outermost marked element or 0) of each line in page order.
+
+    On the stack are open blocks and, above a dropped span, it and the spans in it; text there is left out of its line.
+    """
     out: list[tuple[str, int, bool, int]] = []
     stack: list[tuple[str, bool, int]] = []
     parts: list[str] = []
@@ -95,13 +98,13 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
             text = html.unescape(text)
         text = " ".join(text.split())
         if text:
-            top = stack[-1] if stack else ("", False, 0)
+            top = next((x for x in reversed(stack) if x[0] != "span"), ("", False, 0))
             out.append((text, min(free, len(text)), top[1], top[2]))
         free = 0
 
     def take(text: str) -> None:
         nonlocal free
-        if text:
+        if text and not (stack and stack[-1][0] == "span"):
             parts.append(text)
             if not links:
                 free += len(text.strip())
@@ -115,24 +118,23 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
             continue
         if tag == "a":
             links = 0 if m[2] else 1
-        if tag in INLINE and (m[2] or not stack or "=" not in m[4]):
+        if tag == "span":
+            within = bool(stack) and stack[-1][0] == "span"
+            if m[2]:
+                del stack[len(stack) - within :]
+            elif within or _marks(tag, m[4])[0]:
+                stack.append((tag, True, 0))
+        if tag in INLINE:
             continue
         if m[2]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if k is not None:
-                if any(x[0] not in INLINE for x in stack[k:]):
-                    flush()
-                    links = 0
+                flush()
+                links = 0
                 del stack[k:]
             elif tag == "p":
                 flush()
             continue
-        if tag in INLINE:
-            dropped, _ = _marks(tag, m[4])
-            if dropped and tag == "span":
-                flush()
-                stack.append((tag, True, stack[-1][2]))
-            continue
         flush()
         if tag in VOID:
             continue
@@ -145,7 +147,7 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
                     del stack[k:]
                     break
         else:
-            while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or (tag in HEADINGS and stack[-1][0] in HEADINGS)):
+            while stack and (stack[-1][0] in ("span", "p") or (tag in HEADINGS and stack[-1][0] in HEADINGS)):
                 stack.pop()
         links = 0
         dropped, main = _marks(tag, m[4])

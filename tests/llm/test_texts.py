@@ -151,6 +151,19 @@ def test_pages_windows_weigh_marks():
     assert html_text.main_text(marked + links + marked) == f"{want} {want}"
 
 
+def test_pages_dropped_spans():
+    cases = {
+        '<p>Start <span class="ad">x</span> rest of the sentence.</p>': "Start rest of the sentence.",
+        '<p>Start <span class="share">a <span>b</span> c <span class="ad">d</span> e</span>rest <span>of</span> it.</p>': "Start rest of it.",
+        '<p>One<span hidden>x</span>word <span class="ad">y<br>z</span>and more.</p>': "Oneword and more.",
+        'Bare <span class="social">x</span>text': "Bare text",
+        '<p>Start <span class="ad">x <p>Next</span> one.': "Start Next one.",
+    }
+    for page, want in cases.items():
+        assert html_text.main_text(f"<article>{page}</article>") == want
+        assert html_text.main_text(page) == want
+
+
 def test_pages_table(spark):
     rows = [(1, "u", "<article><p>x</p></article>"), (1, "u", "<article><p>x</p></article>"), (2, None, None)]
     got = html_text.extract_text(table(spark, rows, "page_id long, url string, html string")).collect()
