@@ -151,6 +151,13 @@ def test_pages_windows_weigh_marks():
     assert html_text.main_text(marked + links + marked) == f"{want} {want}"
 
 
+def test_pages_short_and_interrupted():
+    assert html_text.main_text("<div><h1>Short news</h1><p>Rain is due.</p></div>") == "Short news Rain is due."
+    first = "A paragraph that is long enough to be the story of any page at all."
+    adverts = '<div class="ad">Buy this</div>' * 4
+    assert html_text.main_text(f"<div><p>{first}</p>{adverts}<p>The end.</p></div>") == f"{first} The end."
+
+
 def test_pages_dropped_spans():
     cases = {
         '<p>Start <span class="ad">x</span> rest of the sentence.</p>': "Start rest of the sentence.",
