@@ -102,7 +102,7 @@ def _columns(texts: pa.Array) -> list[np.ndarray]:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(id, n, s1, s2, signature, keys) of rows (id, text); without keys where the set is empty."""
+    """(id, text_hash, n, s1, s2, signature, keys) of rows (id, text_hash, text); without keys where the set is empty."""
     keys_type = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +112,9 @@ def signatures(rows: DataFrame) -> DataFrame:
                 counts = np.where(n > 0, BANDS, 0)
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[n > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), pa.array(n), pa.array(s1), pa.array(s2), pa.array([x.tobytes() for x in sig], pa.binary()), lists.cast(keys_type)], names=["id", "n", "s1", "s2", "signature", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), part.column("text_hash"), pa.array(n), pa.array(s1), pa.array(s2), pa.array([x.tobytes() for x in sig], pa.binary()), lists.cast(keys_type)], names=["id", "text_hash", "n", "s1", "s2", "signature", "keys"])
 
-    return rows.mapInArrow(run, "id long, n long, s1 long, s2 long, signature binary, keys array<long>")
+    return rows.mapInArrow(run, "id long, text_hash long, n long, s1 long, s2 long, signature binary, keys array<long>")
 
 
 def _links(texts: list[str], sig: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -203,10 +203,12 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, n_shingles, component_id (smallest id reachable), kept (the id is the component's)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     base = cut(signatures(rows))
     some = base.where("n > 0 and id is not null")
-    classes = cut(some.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("keys").alias("keys")))
+    # A class's text is that of its first row: an id may have other texts, too.
+    first = F.min(F.struct("id", "text_hash")).alias("first")
+    classes = cut(some.groupBy("s1", "s2").agg(first, F.first("signature").alias("signature"), F.first("keys").alias("keys")).select("s1", "s2", "first.*", "signature", "keys"))
     links = _candidate_links(classes, rows)
     # Rows that share an id are linked, and each class with its first.
     own = some.join(classes.select("s1", "s2", F.col("id").alias("b")), ["s1", "s2"]).where("id <> b").select(F.col("id").alias("a"), "b")
@@ -226,8 +228,8 @@ def _candidate_links(classes: DataFrame, rows: DataFrame) -> DataFrame:
     members = cut(keyed.join(buckets, "key").select("key", "id", "first", "size"))
     clusters = connected_components(members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct())
     clusters = cut(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")))
-    needed = clusters.select("id").join(classes.select("id", "signature"), "id")
-    texts = cut(rows.join(needed, "id").select("id", "text", "signature").dropDuplicates(["id", "signature"]))
+    needed = clusters.select("id").join(classes.select("id", "text_hash", "signature"), "id")
+    texts = cut(rows.join(needed, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("id", "text", "signature"))
     # A group is a cluster or, where that has more pairs than its buckets together, each of its buckets.
     length = texts.groupBy("id").agg(F.max(F.octet_length("text")).alias("bytes"))
     sized = clusters.join(length, "id").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))

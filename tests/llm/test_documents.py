@@ -66,6 +66,18 @@ def test_near_duplicates_cases(spark):
     assert neardup.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """Each signature goes with its own text, whichever text of the id comes first."""
+    rows = []
+    for k in range(30):
+        base = [f"d{k}w{x}" for x in range(60)]
+        texts = [" ".join(base), *(" ".join(f"d{k}other{j}w{x}" for x in range(50)) for j in range(2))]
+        rows += [(k, t) for t in (texts if k % 2 else texts[::-1])]
+        rows.append((100 + k, " ".join([*base, "tail"])))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table(spark, rows)).collect()}
+    assert got == {i: i % 100 for i, _ in rows}
+
+
 def test_substrings(spark, monkeypatch):
     monkeypatch.setattr(substrings, "FLUSH", 500)
     rows = prose(2, 60)
