@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_folder(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; a local one only where none is set, as in tests."""
+    """Use the cluster's checkpoint folder; a local one only on a local master where none is set, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arcflow-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="arcflow-")
+        context.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
