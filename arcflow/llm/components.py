@@ -6,44 +6,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcflow.plans.cut import cut
+from arcflow.plans.spread import join_counted
 
 MAX_ROUNDS = 60
+#: Rows in each file of a round, at least; a round on few edges has few files.
+FILE_ROWS = 10_000
 
 
-#: Edges for each task of a round; a round on few edges has few tasks and files.
-TASK_EDGES = 50_000
+def _least(edges: DataFrame, n: int) -> DataFrame:
+    """(a, m, n): each node's least neighbour and number of neighbours."""
+    return cut(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).coalesce(1 + n // FILE_ROWS))
 
 
-def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
-    """Every greater neighbour of a node moves to the smallest of its neighbourhood."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
-
-
-def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
-    """A node's smaller neighbours and the node itself move to the smallest of them; edges come as (greater, smaller)."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).coalesce(tasks).distinct().coalesce(tasks)
+def _distinct(edges: DataFrame, n: int) -> DataFrame:
+    return cut(edges.distinct().coalesce(1 + n // FILE_ROWS))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of `edges` (a, b): component is the smallest node reachable.
 
-    Loops and repeated edges don't matter. Each round is cut, so that a lost executor costs no more.
-    Joins are plain equi-joins on a node, whose hot keys adaptive execution splits; minima are partial sums.
+    Loops, repeated edges and edges with a null end don't matter. Edges are kept as (greater, smaller).
+    Large-star: every greater neighbour of a node moves to the smallest of its neighbourhood. Small-star:
+    a node's smaller neighbours and the node itself move to the smallest of them. Rounds end when every
+    node with a smaller neighbour has no other. Each step is cut, so that a lost executor costs no more.
+    Minima are partial sums; the rows of hubs meet them by a broadcast of the hubs alone (see `join_counted`).
     """
-    ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    current = cut(ordered)
-    before = None
+    current = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    n = current.count()
     for _ in range(MAX_ROUNDS):
-        mark = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if mark == before:
+        both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = _least(both, 2 * n)
+        look = least.agg(F.count_if(F.expr("m < a and n > 1")).alias("open"), F.max("n").alias("most")).first()
+        if not look["open"]:
             break
-        before = mark
-        tasks = 1 + mark["n"] // TASK_EDGES
-        current = cut(_small_star(_large_star(current, tasks), tasks))
+        large = join_counted(both, least.select("a", F.least("a", "m").alias("m"), "n"), ["a"], "n", 2 * n, look["most"])
+        current = _distinct(large.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), n)
+        least = _least(current, n)
+        moved = join_counted(current, least, ["a"], "n", n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        current = _distinct(moved.union(least.select("a", F.col("m").alias("b"))), n)
     else:
         raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -13,18 +13,27 @@ with nothing. Two documents are linked if 100 * intersection >= 75 * union.
 3. Groups are dealt in blocks of at most `BLOCK` documents. In a block, pairs whose
    signatures agree in less than `AGREE` of their rows are passed over (at the threshold
    that is 5.5 standard deviations low); the rest are confirmed on the full sets. A block
-   returns no more links than it has documents. Groups of several blocks first compare
-   each block in itself and with the group's first document; only documents still outside
-   the group's largest component are then compared with all blocks.
-4. Components of the confirmed links, by alternating large-star and small-star.
+   returns no more links than it has documents. Groups of several blocks compare each
+   block in itself and with the group's first document.
+4. Groups that have documents outside their largest component after that are dealt anew by
+   rare shingles. With shingles in order of a sketched frequency, of two linked sets the
+   smaller has a common shingle among its first n - ceil(6 n / 7) + 1, and the larger has it
+   among its first n - ceil(3 n / 4) + 1: what a template of lower similarity shares isn't
+   there, so its documents share no bucket. Members that a bucket has by the shorter
+   prefix meet all its members.
+5. Components of the confirmed links, by alternating large-star and small-star.
 
 Defined cases: rows that share an id count as linked; rows with a null id are returned
-with a null component and aren't kept; repeated rows are returned once; an empty table
-gives an empty table; columns other than the named are ignored.
+with a null component and aren't kept. With `rows_apart`, rows without an id, and rows of
+one id with different texts, are documents of their own, which come after all others in
+the order of a hash; a component of such rows alone is null, and its first row is kept
+(ids must be under 2^62 then). Repeated rows are returned once; an empty table gives an
+empty table; columns other than the named are ignored.
 
 Scale: the shuffles are of signatures, of bucket keys (twice), and of texts. No task sees
-a whole bucket or group; buckets are counted with partial sums, and joins on hot keys are
-plain equi-joins that adaptive execution splits. Nothing about documents goes to the driver.
+a whole bucket or group; buckets are counted with partial sums, and the rows of hot keys
+meet their counts by a broadcast of the hot keys alone (see `join_counted`). The sketch has
+`CELLS` counters whatever the data. Nothing else about documents goes to the driver.
 """
 
 from __future__ import annotations
@@ -33,18 +42,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcflow.llm.components import connected_components
 from arcflow.llm.words import LOWER, Words, buffers, hash_windows, hash_words, mix, slices, split, window_rows
 from arcflow.plans.cut import cut
+from arcflow.plans.spread import join_counted
 
 SHINGLE = 5
 BANDS, ROWS = 40, 4
 AGREE = 0.56
 BLOCK = 128
 BLOCK_BYTES = 8 << 20
+#: Counters of the sketch that orders shingles by frequency.
+CELLS = 1 << 18
+#: Least place of documents without an id of their own.
+NAMELESS = 1 << 62
 
 _rng = np.random.default_rng(20_240_602)
 _A = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,11 +112,11 @@ def _columns(texts: pa.Array) -> list[np.ndarray]:
     for r in range(ROWS):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + low[:, r::ROWS])
     keys = mix(keys + np.arange(BANDS, dtype=np.uint64))
-    return [n, ids[0].view(np.int64), ids[1].view(np.int64), (low >> np.uint64(48)).astype(np.uint16), keys.view(np.int64)]
+    return [n, ids[0].view(np.int64), ids[1].view(np.int64), (mix(low) >> np.uint64(48)).astype(np.uint16), keys.view(np.int64)]
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(id, text_hash, n, s1, s2, signature, keys) of rows (id, text_hash, text); without keys where the set is empty."""
+    """(id, own, text_hash, n, s1, s2, signature, keys) of rows (id, own, text_hash, text); without keys where the set is empty."""
     keys_type = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +126,9 @@ def signatures(rows: DataFrame) -> DataFrame:
                 counts = np.where(n > 0, BANDS, 0)
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[n > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), part.column("text_hash"), pa.array(n), pa.array(s1), pa.array(s2), pa.array([x.tobytes() for x in sig], pa.binary()), lists.cast(keys_type)], names=["id", "text_hash", "n", "s1", "s2", "signature", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("own"), part.column("text_hash"), pa.array(n), pa.array(s1), pa.array(s2), pa.array([x.tobytes() for x in sig], pa.binary()), lists.cast(keys_type)], names=["id", "own", "text_hash", "n", "s1", "s2", "signature", "keys"])
 
-    return rows.mapInArrow(run, "id long, text_hash long, n long, s1 long, s2 long, signature binary, keys array<long>")
+    return rows.mapInArrow(run, "id long, own long, text_hash long, n long, s1 long, s2 long, signature binary, keys array<long>")
 
 
 def _links(texts: list[str], sig: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -201,63 +215,163 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id, n_shingles, component_id (smallest id reachable), kept (the id is the component's)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_apart: bool = False) -> DataFrame:
+    """One row per document: its id, text_hash (xxhash64), n_shingles, component_id (smallest id reachable), kept (it is its component's first)."""
+    given = docs.select(F.col(id_col).cast("long").alias("own"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    if rows_apart:
+        nameless = F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("own", "text"), 2)
+        hashes = docs.select(F.col(id_col).cast("long").alias("own"), F.xxhash64(text_col).alias("h")).where("own is not null")
+        several = cut(hashes.groupBy("own").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("own", F.lit(True).alias("several")))
+        given = given.join(several, "own", "left")
+        rows = given.select(F.when(F.col("own").isNull() | F.col("several"), nameless).otherwise(F.col("own")).alias("id"), "own", "text_hash", "text")
+    else:
+        rows = given.select(F.col("own").alias("id"), "own", "text_hash", "text")
     base = cut(signatures(rows))
     some = base.where("n > 0 and id is not null")
     # A class's text is that of its first row: an id may have other texts, too.
     first = F.min(F.struct("id", "text_hash")).alias("first")
-    classes = cut(some.groupBy("s1", "s2").agg(first, F.first("signature").alias("signature"), F.first("keys").alias("keys")).select("s1", "s2", "first.*", "signature", "keys"))
+    classes = cut(some.groupBy("s1", "s2").agg(first, F.first("signature").alias("signature"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows")).select("s1", "s2", "first.*", "signature", "keys", "rows"))
     links = _candidate_links(classes, rows)
+    total = base.count()
     # Rows that share an id are linked, and each class with its first.
-    own = some.join(classes.select("s1", "s2", F.col("id").alias("b")), ["s1", "s2"]).where("id <> b").select(F.col("id").alias("a"), "b")
     shared = some.groupBy("id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("id")
-    links = links.union(own.join(shared.select(F.col("id").alias("a")), "a", "left_semi").select("a", "b"))
-    components = connected_components(links)
-    of_class = classes.select("s1", "s2", F.col("id").alias("node")).join(components, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
-    found = base.select("id", "n", "s1", "s2").distinct().join(of_class, ["s1", "s2"], "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+    members = some.select("id", "s1", "s2").join(shared, "id", "left_semi")
+    own = members.join(classes.select("s1", "s2", F.col("id").alias("b")), ["s1", "s2"]).where("id <> b").select(F.col("id").alias("a"), "b")
+    components = connected_components(links.union(own))
+    of_class = classes.select("s1", "s2", "rows", F.col("id").alias("node")).join(components, "node", "left").select("s1", "s2", "rows", F.coalesce("component", "node").alias("component"))
+    rest = base.where("n = 0 or id is null").select("id", "own", "text_hash", "n", F.col("id").alias("component"))
+    found = join_counted(some.select("id", "own", "text_hash", "n", "s1", "s2"), cut(of_class.select("s1", "s2", "rows", "component")), ["s1", "s2"], "rows", total).select("id", "own", "text_hash", "n", "component")
+    out = found.union(rest).distinct()
+    kept = F.coalesce(F.col("component") == F.col("id"), F.lit(False))
+    named = F.when(F.col("component") < NAMELESS, F.col("component")) if rows_apart else F.col("component")
+    return out.select(F.col("own").alias(id_col), "text_hash", F.col("n").alias("n_shingles"), named.alias("component_id"), kept.alias("kept"))
 
 
-def _candidate_links(classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Confirmed links between classes (by their first ids)."""
-    keyed = classes.select("id", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut(keyed.join(buckets, "key").select("key", "id", "first", "size"))
-    clusters = connected_components(members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct())
-    clusters = cut(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")))
-    needed = clusters.select("id").join(classes.select("id", "text_hash", "signature"), "id")
-    texts = cut(rows.join(needed, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("id", "text", "signature"))
-    # A group is a cluster or, where that has more pairs than its buckets together, each of its buckets.
+def _buckets(keyed: DataFrame, only: str = "true") -> DataFrame:
+    """(key, id, core, first, n) of keys with several members, of which some satisfy the aggregate condition `only`."""
+    keys = cut(keyed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.expr(only).alias("wanted")).where("n > 1 and wanted").drop("wanted"))
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    return cut(join_counted(keyed, keys, ["key"], "n", total).select("key", "id", "core", "first", "n"))
+
+
+def _blocks(n: str, size: str) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES)).cast("int")
+
+
+def _groups(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(g, id, core, head, blocks): clusters of buckets or, where those have more pairs than their buckets together, each bucket."""
+    ties = members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    clusters = connected_components(ties).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     length = texts.groupBy("id").agg(F.max(F.octet_length("text")).alias("bytes"))
-    sized = clusters.join(length, "id").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-    work = members.groupBy("key").agg(F.min("first").alias("id"), F.min("size").alias("size")).join(clusters, "id").groupBy("cluster").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("work"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    plans = cut(sized.join(work, "cluster").select("cluster", blocks.alias("blocks"), ((blocks > 1) & (F.col("work") < F.col("n").cast("double") * F.col("n"))).alias("apart")))
-    whole = clusters.join(plans.where("not apart"), "cluster").select(F.col("cluster").alias("g"), "id", F.col("cluster").alias("head"), "blocks")
-    apart = clusters.join(plans.where("apart"), "cluster").select("id")
-    by_bucket = members.join(apart, "id").select(F.col("key").alias("g"), "id", F.col("first").alias("head"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    groups = cut(whole.union(by_bucket))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    alone = groups.select("g", "id", F.when(F.col("id") == F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block)).alias("to")).select("g", F.explode("to").alias("i"), F.lit(-1).alias("j"), "id")
-    links = cut(_confirm(alone, texts))
-    large = groups.where("blocks > 1")
-    if large.isEmpty():
-        return links
-    # Groups of several blocks: what is outside a group's largest component meets every block.
-    in_large = large.select("id").distinct()
-    settled = connected_components(links.join(in_large.select(F.col("id").alias("a")), "a", "left_semi"))
-    state = cut(large.join(settled.withColumnRenamed("node", "id"), "id", "left").select("g", "id", "blocks", F.coalesce("component", "id").alias("component")))
-    counts = state.groupBy("g", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("g").agg(F.max(F.struct("n", F.col("component").alias("main"))).alias("top"), F.sum("n").alias("all")).select("g", F.col("top.main").alias("main"), (F.col("all") - F.col("top.n")).alias("rest"))
-    rest_blocks = F.ceil(F.col("rest") / BLOCK).cast("int")
-    open_groups = state.join(main.where("rest > 0"), "g").withColumn("outside", F.col("component") != F.col("main")).withColumn("of", rest_blocks)
+    sized = cut(clusters.join(length, "id"))
+    work = members.groupBy("key").agg(F.min("first").alias("id"), F.min("n").alias("n")).join(clusters, "id").groupBy("cluster").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
+    counts = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).join(work, "cluster")
+    blocks = _blocks("n", "bytes")
+    plans = cut(counts.select("cluster", "n", blocks.alias("blocks"), ((blocks > 1) & (F.col("work") < F.col("n").cast("double") * F.col("n"))).alias("apart")))
+    planned = join_counted(sized, plans, ["cluster"], "n", sized.count())
+    whole = planned.where("not apart").select(F.col("cluster").alias("g"), "id", F.lit(True).alias("core"), F.col("cluster").alias("head"), "blocks")
+    apart = cut(members.select("key", "id", "core").join(planned.where("apart").select("id", "bytes"), "id"))
+    each = cut(apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"), F.min("id").alias("head")))
+    bucket = join_counted(apart, each, ["key"], "n", apart.count()).select(F.col("key").alias("g"), "id", "core", "head", _blocks("n", "size").alias("blocks"))
+    return cut(whole.union(bucket))
+
+
+def _block() -> Column:
+    return F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+
+
+def _alone(groups: DataFrame) -> DataFrame:
+    """(g, i, j, id): each block for itself, with the group's first document."""
+    to = F.when(F.col("id") == F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_block()))
+    return groups.select("g", F.explode(to).alias("i"), F.lit(-1).alias("j"), "id")
+
+
+def _crossed(groups: DataFrame) -> DataFrame:
+    """(g, i, j, id): lanes of core members, each with every block of the group."""
+    counts = cut(groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_if("core").alias("cores")))
+    rows = join_counted(groups, counts, ["g"], "n", groups.count()).withColumn("of", F.greatest(F.lit(1), F.ceil(F.col("cores") * F.col("blocks") / F.col("n"))).cast("int"))
     lane = F.pmod(F.xxhash64("id", F.lit(1)), F.col("of")).cast("int")
     pairs = F.concat(
-        F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: F.struct(k.alias("i"), block.alias("j"))),
-        F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(lane.alias("i"), k.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>")),
+        F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: F.struct(k.alias("i"), _block().alias("j"))),
+        F.when(F.col("core"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(lane.alias("i"), k.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>")),
     )
-    crossed = open_groups.select("g", "id", F.explode(F.array_distinct(pairs)).alias("p")).select("g", "p.i", "p.j", "id")
-    return links.union(cut(_confirm(crossed, texts)))
+    return rows.select("g", "id", F.explode(F.array_distinct(pairs)).alias("p")).select("g", "p.i", "p.j", "id")
+
+
+def _open(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, outside): members of groups of several blocks that have members outside their largest component, and who that is."""
+    large = groups.where("blocks > 1")
+    settled = connected_components(links.join(large.select(F.col("id").alias("a")).distinct(), "a", "left_semi"))
+    state = cut(large.join(settled.withColumnRenamed("node", "id"), "id", "left").select("g", "id", F.coalesce("component", "id").alias("component")))
+    counts = state.groupBy("g", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("g").agg(F.max(F.struct("n", F.col("component").alias("main"))).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    found = join_counted(state, cut(main.select("g", "n", "top.main")), ["g"], "n", state.count())
+    return found.groupBy("id").agg(F.bool_or(F.col("component") != F.col("main")).alias("outside"))
+
+
+def _texts_sets(part: pa.RecordBatch) -> list[np.ndarray]:
+    data, at = buffers(part.column("text"))
+    return shingles(split(LOWER[data], at))
+
+
+def _cell(found: np.ndarray) -> np.ndarray:
+    return (mix(found, 5) % np.uint64(CELLS)).astype(np.int64)
+
+
+def sketch_frequencies(texts: DataFrame) -> np.ndarray:
+    """How many sets have a shingle of each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for found in _texts_sets(part):
+                    np.add.at(counts, _cell(found), 1)
+        some = np.flatnonzero(counts)
+        if len(some):
+            yield pa.RecordBatch.from_pydict({"cell": some, "n": counts[some]})
+
+    got = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return counts
+
+
+def rare_shingles(rows: DataFrame, frequencies: np.ndarray) -> DataFrame:
+    """(key, id, core, outside) of the rare shingles of rows (id, outside, text); core where the shorter prefix has them."""
+    shared = rows.sparkSession.sparkContext.broadcast(frequencies)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids, outside = part.column("id").to_numpy(), part.column("outside").to_numpy(zero_copy_only=False)
+                keys, cores, sizes = [], [], []
+                for found in _texts_sets(part):
+                    n = len(found)
+                    long, short = n - (3 * n + 3) // 4 + 1, n - (6 * n + 6) // 7 + 1
+                    chosen = found[np.lexsort((found, counts[_cell(found)]))[:long]]
+                    keys.append(chosen)
+                    cores.append(np.arange(len(chosen)) < short)
+                    sizes.append(len(chosen))
+                if sum(sizes):
+                    yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys).view(np.int64), "id": np.repeat(ids, sizes), "core": np.concatenate(cores), "outside": np.repeat(outside, sizes)})
+
+    return rows.select("id", "outside", "text").mapInArrow(run, "key long, id long, core boolean, outside boolean")
+
+
+def _candidate_links(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Confirmed links between classes (by their first ids)."""
+    members = _buckets(classes.select(F.explode("keys").alias("key"), "id", F.lit(True).alias("core")))
+    needed = classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "text_hash", "signature")
+    texts = cut(rows.select("id", "text_hash", "text").join(needed, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("id", "text", "signature"))
+    groups = _groups(members, texts)
+    links = cut(_confirm(_alone(groups), texts))
+    if groups.where("blocks > 1").isEmpty():
+        return links
+    left = cut(_open(groups, links))
+    if left.isEmpty():
+        return links
+    keyed = cut(rare_shingles(texts.join(left, "id"), sketch_frequencies(texts)))
+    groups = _groups(_buckets(keyed, "bool_or(core) and bool_or(outside)"), texts)
+    return links.union(cut(_confirm(_crossed(groups), texts)))

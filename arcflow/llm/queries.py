@@ -37,7 +37,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
