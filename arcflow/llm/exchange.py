@@ -1,6 +1,7 @@
 """Questions and answers between parts of the documents and parts of a hash space.
 
-Documents are dealt to numbered parts by id. What a part needs to know about many keys
+Documents are dealt to numbered parts by id and text, so that rows of one id or without
+any spread unless their texts are equal, too. What a part needs to know about many keys
 (how often a window occurs, what an n-gram counts) it asks of the ranges of the key
 space, as packed arrays, and each range answers the parts that asked. A key is sent once
 for each part that has it, however often it occurs there, so hot keys weigh no more than
@@ -12,8 +13,9 @@ of arrays, integers as byte planes.
 
 from __future__ import annotations
 
-import pickle
+import struct
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 
 from arcflow.llm.words import buffers, slices
 
+#: Of a packed array: the kind of its integers (empty for bytes) and its length.
+HEADER = struct.Struct("<4sQ")
 ROWS = "dest int, kind int, data binary"
 NULL_ID = -(1 << 63)
 #: Of zstandard; on text, twice the time of level 1 for an eighth less space.
@@ -32,20 +36,26 @@ BUNDLE_BYTES = 32 << 20
 
 
 def pack(*arrays: np.ndarray | bytes) -> bytes:
-    """Arrays of integers or bytes; integers as byte planes, which compress well if small or sorted and differenced."""
-    out = [x if isinstance(x, bytes) else (x.dtype.str, np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()) for x in arrays]
-    return zstandard.ZstdCompressor(level=LEVEL).compress(pickle.dumps(out))
+    """Arrays of integers or bytes, each after its kind and length; integers as byte planes, which compress well if small or sorted and differenced."""
+    out = []
+    for x in arrays:
+        kind, data = (b"", x) if isinstance(x, bytes) else (x.dtype.str.encode(), np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+        out += [HEADER.pack(kind, len(data)), data]
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(out))
 
 
 def unpack(data: bytes) -> list[np.ndarray | bytes]:
-    out = []
-    for x in pickle.loads(zstandard.ZstdDecompressor().decompress(data)):
-        if isinstance(x, bytes):
-            out.append(x)
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(raw):
+        kind, n = HEADER.unpack_from(raw, at)
+        at += HEADER.size
+        kind = kind.rstrip(b"\0").decode()
+        if not kind:
+            out.append(raw[at : at + n])
         else:
-            kind = np.dtype(x[0])
-            flat = np.frombuffer(x[1], np.uint8)
-            out.append(np.ascontiguousarray(flat.reshape(kind.itemsize, -1).T).view(kind).ravel() if len(flat) else np.empty(0, kind))
+            flat = np.frombuffer(raw, np.uint8, n, at)
+            out.append(np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel() if n else np.empty(0, kind))
+        at += n
     return out
 
 
@@ -140,11 +150,11 @@ def destinations(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[tuple[int,
 def numbered(docs: DataFrame, parts: Parts, id_col: str, text_col: str, *more) -> DataFrame:
     """(id, text, hash, part index, more columns) of documents; a null id is the least integer."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"), *more)
-    return rows.withColumn("hash", F.xxhash64("text")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts.count)).cast("int"))
+    return rows.withColumn("hash", F.xxhash64("text")).withColumn("part", F.pmod(F.xxhash64("id", "hash"), F.lit(parts.count)).cast("int"))
 
 
-def bundles(rows: DataFrame, parts: Parts, kind: int, flag: str | None = None) -> DataFrame:
-    """Documents of each part as packs of (ids, hashes, flags, byte lengths, text)."""
+def bundles(rows: DataFrame, parts: Parts, kind: int, flag: str | None = None, carry: str | None = None) -> DataFrame:
+    """Documents of each part as packs of (ids, hashes, flags, byte lengths, text, an Arrow stream of a column to carry)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple[int, int, bytes]]:
@@ -157,20 +167,40 @@ def bundles(rows: DataFrame, parts: Parts, kind: int, flag: str | None = None) -
                     ids, hashes = piece.column("id").to_numpy(), piece.column("hash").to_numpy()
                     flags = piece.column(flag).to_numpy(zero_copy_only=False).astype(np.uint8) if flag else np.zeros(len(ids), np.uint8)
                     for k, s in by_group(part[order], parts.count):
-                        yield int(parts.numbers[k]), kind, pack(ids[s], hashes[s], flags[s], np.diff(at[s.start : s.stop + 1]), data[at[s.start] : at[s.stop]].tobytes())
+                        more = [_stream_of(piece.select([carry]).slice(s.start, s.stop - s.start))] if carry else []
+                        yield int(parts.numbers[k]), kind, pack(ids[s], hashes[s], flags[s], np.diff(at[s.start : s.stop + 1]), data[at[s.start] : at[s.stop]].tobytes(), *more)
 
         yield from chunks(out())
 
-    return rows.select("id", "text", "hash", "part", *([flag] if flag else [])).mapInArrow(run, ROWS)
+    return rows.select("id", "text", "hash", "part", *(c for c in (flag, carry) if c)).mapInArrow(run, ROWS)
+
+
+def _stream_of(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+class Texts(NamedTuple):
+    """Documents of a bundle: their bytes and n+1 offsets, and the column that was carried."""
+
+    ids: np.ndarray
+    hashes: np.ndarray
+    flags: np.ndarray
+    raw: np.ndarray
+    at: np.ndarray
+    carried: pa.Array | None
 
 
-def open_bundle(data: bytes, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, hashes, flags, bytes, offsets) of a bundle's documents in slices of about `limit` bytes."""
-    ids, hashes, flags, lengths, text = unpack(data)
+def open_bundle(data: bytes, limit: int) -> Iterator[Texts]:
+    """A bundle's documents in slices of about `limit` bytes."""
+    ids, hashes, flags, lengths, text, *more = unpack(data)
     raw, at = np.frombuffer(text, np.uint8), np.concatenate(([0], np.cumsum(lengths)))
+    carried = pa.ipc.open_stream(more[0]).read_next_batch().column(0) if more else None
     begin = 0
     while begin < len(ids):
         end = max(begin + 1, int(np.searchsorted(at, at[begin] + limit, "right")) - 1)
         s = slice(begin, end)
-        yield ids[s], hashes[s], flags[s], raw[at[begin] : at[end]], at[begin : end + 1] - at[begin]
+        yield Texts(ids[s], hashes[s], flags[s], raw[at[begin] : at[end]], at[begin : end + 1] - at[begin], carried.slice(begin, end - begin) if carried is not None else None)
         begin = end

@@ -19,11 +19,14 @@ covers; it takes no part in step 2.
 
 Defined cases: a null text has no words; a document of under `WINDOW` words loses none;
 a repeated row (same id and text) is judged like the row it repeats; of different texts
-with one id, equal places count as equally early; a null id comes before all others; an
-empty table gives an empty table; columns other than the named are ignored.
+with one id, that with the smaller hash comes first; a null id comes before all others;
+an empty table gives an empty table; columns other than the named and carried are ignored.
 
 Scale: every shuffle is linear in the input (see `exchange`): the sketches of chosen places,
-the estimated windows, and the packed texts twice. Hot windows are one entry for each part.
+the estimated windows, and the packed texts twice. Hot windows are one entry for each part;
+copies of one text meet their first by a broadcast if they are many (see `join_counted`).
+The sketch grows with the text up to 2^`MOST_BITS` cells; from then on more windows are
+estimated repeated than are, and are grouped exactly all the same.
 """
 
 from __future__ import annotations
@@ -32,18 +35,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from arcflow.llm.exchange import NULL_ID, ROWS, Parts, bundles, by_group, chunks, destinations, numbered, open_bundle, pack, run_parts, steps, stream, total, unpack
+from arcflow.llm.exchange import NULL_ID, ROWS, Parts, Texts, bundles, by_group, chunks, destinations, numbered, open_bundle, pack, run_parts, steps, stream, total, unpack
 from arcflow.llm.words import SLICE_BYTES, Words, buffers, hash_windows, hash_words, mix, slices, split, window_rows
 from arcflow.plans.cut import cut
+from arcflow.plans.spread import join_counted
 
 WINDOW = 20
 INNER = 14
 DEPTH = 2
 #: Cells of a row for each byte of text, at least.
 CELLS_PER_BYTE = 0.5
+#: Cells of a row, at most, as a power of two: a cell, its row and a part's number are packed in 64 bits.
+MOST_BITS = 42
 #: Chosen places that a task sketches at once, and estimated windows that a part groups at once.
 FLUSH = 2_000_000
 _SEEDS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
@@ -149,11 +157,11 @@ def _answers(sketches: DataFrame, parts: Parts) -> DataFrame:
     return parts.deal(sketches).mapInArrow(run_parts(part), ROWS)
 
 
-def _copies(rows: DataFrame, parts: Parts) -> DataFrame:
+def _copies(rows: DataFrame, parts: Parts, total: int) -> DataFrame:
     """To each part its documents whose whole text occurs in one with a smaller id."""
-    texts = rows.where("text is not null").select("id", "hash", "part", F.md5("text").alias("digest"))
-    first = texts.groupBy("digest").agg(F.min("id").alias("first"))
-    later = texts.join(first, "digest").where("id > first").select("id", "hash", "part")
+    texts = rows.where("text <> ''").select("id", "hash", "part", F.md5("text").alias("digest"))
+    first = cut(texts.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    later = join_counted(texts, first, ["digest"], "n", total).where("id > first").select("id", "hash", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple[int, int, bytes]]:
@@ -176,7 +184,7 @@ class _Known:
         self.bits, self.window, self.inner, self.depth = bits, window, inner, depth
         self.cells: list[np.ndarray] = []
         self.copies: set[tuple[int, int]] = set()
-        self.first_ids: list[np.ndarray] = []
+        self.first_docs: list[np.ndarray] = []
         self.first_starts: list[np.ndarray] = []
         self.ready = False
 
@@ -187,16 +195,16 @@ class _Known:
         elif kind == 1:
             self.copies.update(zip(got[0].tolist(), got[1].tolist(), strict=True))
         else:
-            self.first_ids.append(got[0])
+            self.first_docs.append(got[0])
             self.first_starts.append(got[1])
 
     def close(self) -> None:
         if not self.ready:
             self.cells = np.unique(np.concatenate(self.cells)) if self.cells else np.empty(0, np.uint64)
-            ids = np.concatenate(self.first_ids) if self.first_ids else np.empty(0, np.int64)
+            docs = np.concatenate(self.first_docs) if self.first_docs else np.empty(0, np.uint64)
             starts = np.concatenate(self.first_starts) if self.first_starts else np.empty(0, np.uint32)
-            order = np.argsort(ids, kind="stable")
-            self.first_ids, self.first_starts, self.ready = ids[order], starts[order], True
+            order = np.argsort(docs, kind="stable")
+            self.first_docs, self.first_starts, self.ready = docs[order], starts[order], True
 
     def estimated(self, places: Places) -> np.ndarray:
         """Of each window, whether all its cells count twice or more."""
@@ -212,27 +220,37 @@ class _Known:
     def is_copy(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         return np.fromiter((x in self.copies for x in zip(ids.tolist(), hashes.tolist(), strict=True)), bool, len(ids))
 
-    def is_first(self, ids: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Of windows by row of `ids` and start in it, whether they are first occurrences."""
-        names, where = np.unique(ids, return_inverse=True)
-        low, high = np.searchsorted(self.first_ids, names), np.searchsorted(self.first_ids, names, "right")
+    def is_first(self, docs: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Of windows by row of `docs` (see `_named`) and start in it, whether they are first occurrences."""
+        names, where = np.unique(docs, return_inverse=True)
+        low, high = np.searchsorted(self.first_docs, names), np.searchsorted(self.first_docs, names, "right")
         counts = high - low
         at = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         mine = np.repeat(np.arange(len(names)), counts) << 32 | self.first_starts[at].astype(np.int64)
         return np.isin(where[rows] << 32 | starts, mine)
 
 
+def _named(ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """One number for each document by its id and the upper half of its text's hash."""
+    return mix(mix(ids.view(np.uint64)) + ties)
+
+
+def _ties(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+
+
 def _firsts(dealt: DataFrame, parts: Parts, known: tuple[int, int, int, int]) -> DataFrame:
     """To each part its first occurrences among windows estimated repeated."""
 
     def send(found: list[tuple[np.ndarray, ...]], owner: int) -> Iterator[tuple[int, int, bytes]]:
-        h1, h2, ids, starts = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((starts, ids, h2, h1))
+        h1, h2, ids, ties, starts = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((starts, ties, ids, h2, h1))
         h1, h2 = h1[order], h2[order]
         fresh = (np.diff(h1, prepend=~h1[:1]) != 0) | (np.diff(h2, prepend=h2[:1]) != 0)
-        h1, h2, ids, starts = h1[fresh], h2[fresh], ids[order][fresh], starts[order][fresh]
+        order = order[fresh]
+        h1, h2, ids, ties, starts = h1[fresh], h2[fresh], ids[order], ties[order], starts[order]
         for k, s in by_group(parts.of_range(h1), parts.count):
-            yield int(parts.numbers[k]), 0, pack(steps(h1[s]), h2[s], ids[s], starts[s], np.array([owner], np.int64))
+            yield int(parts.numbers[k]), 0, pack(steps(h1[s]), h2[s], ids[s], ties[s], starts[s], np.array([owner], np.int64))
 
     def ask(rows: Iterator[tuple[int, bytes]], dest: int) -> Iterator[tuple[int, int, bytes]]:
         told, found, size = _Known(*known), [], 0
@@ -241,14 +259,14 @@ def _firsts(dealt: DataFrame, parts: Parts, known: tuple[int, int, int, int]) ->
                 told.hear(kind, data)
                 continue
             told.close()
-            for ids, hashes, _, raw, at in open_bundle(data, SLICE_BYTES):
-                places = Places(raw, at, told.window, told.inner)
+            for t in open_bundle(data, SLICE_BYTES):
+                places = Places(t.raw, t.at, told.window, told.inner)
                 if not len(places.starts):
                     continue
-                pick = told.estimated(places) & ~told.is_copy(ids, hashes)[places.rows]
+                pick = told.estimated(places) & ~told.is_copy(t.ids, t.hashes)[places.rows]
                 if pick.any():
                     first, owner = places.starts[pick], places.rows[pick]
-                    found.append((hash_windows(places.hashes, told.window)[first], (hash_windows(places.hashes, told.window, 1)[first] >> np.uint64(32)).astype(np.uint32), ids[owner], (first - places.words.bounds[owner]).astype(np.uint32)))
+                    found.append((hash_windows(places.hashes, told.window)[first], (hash_windows(places.hashes, told.window, 1)[first] >> np.uint64(32)).astype(np.uint32), t.ids[owner], _ties(t.hashes)[owner], (first - places.words.bounds[owner]).astype(np.uint32)))
                     size += len(first)
                     if size > FLUSH:
                         yield from send(found, number[dest])
@@ -258,34 +276,36 @@ def _firsts(dealt: DataFrame, parts: Parts, known: tuple[int, int, int, int]) ->
 
     def group(rows: Iterator[tuple[int, bytes]], dest: int) -> Iterator[tuple[int, int, bytes]]:
         got = [unpack(data) for _, data in rows]
-        h1, h2, ids, starts, owner = (np.concatenate(x) for x in zip(*((total(d), *more, np.repeat(part, len(d))) for d, *more, part in got), strict=True))
-        order = np.lexsort((starts, ids, h2, h1))
+        h1, h2, ids, ties, starts, owner = (np.concatenate(x) for x in zip(*((total(d), *more, np.repeat(part, len(d))) for d, *more, part in got), strict=True))
+        order = np.lexsort((starts, ties, ids, h2, h1))
         h1, h2 = h1[order], h2[order]
         fresh = (np.diff(h1, prepend=~h1[:1]) != 0) | (np.diff(h2, prepend=h2[:1]) != 0)
         first = order[fresh]
         first = first[np.lexsort((starts[first], ids[first], owner[first]))]
         for k, s in by_group(owner[first], parts.count):
-            yield int(parts.numbers[k]), 2, pack(ids[first][s], starts[first][s])
+            yield int(parts.numbers[k]), 2, pack(_named(ids[first][s], ties[first][s]), starts[first][s])
 
     number = {int(n): k for k, n in enumerate(parts.numbers)}
     questions = dealt.mapInArrow(run_parts(ask), ROWS)
     return parts.deal(questions).mapInArrow(run_parts(group), ROWS)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, inner: int = INNER, depth: int = DEPTH) -> DataFrame:
-    """One row per document row: its id, text_hash (xxhash64 of the text), n_words, n_removed, kept_text (kept words joined by one space)."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, inner: int = INNER, depth: int = DEPTH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document row: its id, text_hash (xxhash64 of the text), n_words, n_removed, kept_text (kept words joined by one space).
+
+    With columns to `carry`, these come first, and the text as it was in place of the id and the hash.
+    """
     inner = min(inner, window)
     parts = Parts(docs.sparkSession)
-    rows = numbered(docs, parts, id_col, text_col)
-    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    bits = max(10, int(size * CELLS_PER_BYTE).bit_length())
-    if bits > 42 or parts.count >= (1 << 20) - 1:
-        raise ValueError("more cells or parts than the packed questions can name")
+    rows = numbered(docs, parts, id_col, text_col, F.col(text_col).isNull().alias("absent"), F.struct(*(carry or (id_col,))).alias("row"))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    bits = min(MOST_BITS, max(10, int((size["bytes"] or 0) * CELLS_PER_BYTE).bit_length()))
+    if parts.count >= (1 << 20) - 1:
+        raise ValueError("more parts than the packed questions can name")
     known = (bits, window, inner, depth)
-    told = cut(_answers(_sketches(rows, parts, bits, window, inner, depth), parts).unionByName(_copies(rows, parts)))
-    texts = bundles(rows, parts, 3)
-    firsts = cut(_firsts(parts.deal(told.unionByName(texts)), parts, known))
-    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
+    told = cut(_answers(_sketches(rows, parts, bits, window, inner, depth), parts).unionByName(_copies(rows, parts, size["n"])))
+    firsts = cut(_firsts(parts.deal(told.unionByName(bundles(rows, parts, 3))), parts, known))
+    shape = StructType([*([rows.schema["row"], StructField("text", StringType())] if carry else [StructField("id", LongType()), StructField("text_hash", LongType())]), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, mine in destinations(stream(batches)):
@@ -295,26 +315,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     about.hear(kind, data)
                     continue
                 about.close()
-                for ids, hashes, _, raw, at in open_bundle(data, SLICE_BYTES):
-                    places = Places(raw, at, window, inner)
+                for t in open_bundle(data, SLICE_BYTES):
+                    places = Places(t.raw, t.at, window, inner)
                     words = places.words
                     cover = np.zeros(len(words.starts) + 1, np.int64)
                     if len(places.starts):
-                        copy = about.is_copy(ids, hashes)[places.rows]
+                        copy = about.is_copy(t.ids, t.hashes)[places.rows]
                         gone = copy | about.estimated(places)
                         ask = np.flatnonzero(gone & ~copy)
                         owner = places.rows[ask]
-                        gone[ask] = ~about.is_first(ids, owner, places.starts[ask] - words.bounds[owner])
+                        gone[ask] = ~about.is_first(_named(t.ids, _ties(t.hashes)), owner, places.starts[ask] - words.bounds[owner])
                         first = places.starts[gone]
                         np.add.at(cover, first, 1)
                         np.add.at(cover, first + window, -1)
                     removed = np.cumsum(cover[:-1]) > 0
                     running = np.concatenate(([0], np.cumsum(removed)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NULL_ID), pa.array(hashes), pa.array(words.counts), pa.array(np.diff(running[words.bounds])), _joined(words, ~removed)], schema=schema)
+                    own = [t.carried, _as_text(t)] if carry else [pa.array(t.ids, pa.int64(), mask=t.ids == NULL_ID), pa.array(t.hashes)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(words.counts), pa.array(np.diff(running[words.bounds])), _joined(words, ~removed)], names=shape.names)
 
     # A part's documents meet what it was told and its first occurrences.
-    done = parts.deal(told.unionByName(firsts).unionByName(texts)).mapInArrow(finish, "id long, text_hash long, n_words long, n_removed long, kept_text string")
-    return done.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "text_hash", "n_words", "n_removed", "kept_text")
+    texts = bundles(rows, parts, 3, "absent", "row" if carry else None)
+    done = parts.deal(told.unionByName(firsts).unionByName(texts)).mapInArrow(finish, shape)
+    own = ["row.*", "text"] if carry else [F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "text_hash"]
+    return done.select(*own, "n_words", "n_removed", "kept_text")
+
+
+def _as_text(t: Texts) -> pa.Array:
+    """The documents' texts, null where they were."""
+    whole = pa.Array.from_buffers(pa.large_string(), len(t.ids), [None, pa.py_buffer(t.at.astype(np.int64)), pa.py_buffer(t.raw)])
+    return pc.if_else(pa.array(t.flags.astype(bool)), pa.scalar(None, pa.string()), whole.cast(pa.string()))
 
 
 def _joined(words: Words, keep: np.ndarray) -> pa.Array:
