@@ -17,8 +17,10 @@ null ids first); after the last comes the first. One document is its own success
 empty table gives an empty table.
 
 Scale: one shuffle of the documents into ranges of ids. The ranges' bounds are quantiles
-of the ids; each range also gets a copy of the first document of the next, so that no
-task needs more than one text ahead. A range holds about as many rows as any other.
+of the ids; an id (or null) that is several quantiles has as many ranges of its texts'
+hashes. Each range also gets a copy of the first document of the next, so that no task
+needs more than one text ahead. A range holds about as many rows as any other, unless one
+row is repeated that often.
 """
 
 from __future__ import annotations
@@ -140,13 +142,20 @@ def fingerprint_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, f"id {kind.simpleString()}, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def _range_of(cuts: list[float]) -> Column:
-    """Number of cuts at or below the key, by binary search in a constant array."""
+def _range_of(cuts: list[float]) -> tuple[Column, Column]:
+    """Number of a row's range in order of (key, tie), which reads column `at`, and `at`, the number of cuts at or below the key. Cuts ascend; a cut that is there several times is as many ranges of ties."""
     if not cuts:
-        return F.lit(0)
-    table, key = F.lit(cuts), F.col("key").cast("double")
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
-    return F.aggregate(steps, F.lit(0), lambda found, step: F.when(F.get(table, found + step - 1) <= key, found + step).otherwise(found))
+        return F.lit(0), F.lit(0)
+    single = sorted(set(cuts))
+    times = [cuts.count(c) if cuts.count(c) > 1 else 0 for c in single]
+    before = [sum(times[:k]) for k in range(len(times))]
+    table, key = F.lit(single), F.col("key").cast("double")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(single).bit_length()))])
+    at = F.aggregate(steps, F.lit(0), lambda found, step: F.when(F.get(table, found + step - 1) <= key, found + step).otherwise(found))
+    own = F.get(F.lit(times), F.col("at") - 1)
+    tie = F.least(F.floor((F.col("tie").cast("double") / float(1 << 64) + 0.5) * own).cast("int"), own - 1)
+    within = F.when(own == 0, 0).when(F.get(table, F.col("at") - 1) == key, tie).otherwise(own)
+    return F.when(F.col("at") == 0, 0).otherwise(F.col("at") + F.get(F.lit(before), F.col("at") - 1) + within), at
 
 
 def fingerprint_and_follow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
@@ -161,8 +170,8 @@ def fingerprint_and_follow(docs: DataFrame, id_col: str = "doc_id", text_col: st
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = ranges or 4 * parts
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63)))).withColumn("tie", F.xxhash64("text"))
-    cuts = sorted(set(rows.select(F.col("key").cast("double")).approxQuantile("key", [k / ranges for k in range(1, ranges)], 0.25 / ranges)))
-    rows = rows.withColumn("range", _range_of(cuts))
+    place, at = _range_of(sorted(rows.select(F.col("key").cast("double")).approxQuantile("key", [k / ranges for k in range(1, ranges)], 0.25 / ranges)))
+    rows = rows.withColumn("at", at).withColumn("range", place.cast("int"))
     firsts = {r["range"]: r["first"] for r in rows.groupBy("range").agg(F.min(F.struct("key", "tie")).alias("first")).collect()}
     order = sorted(firsts)
     before = {firsts[r]: order[k - 1] for k, r in enumerate(order)}
