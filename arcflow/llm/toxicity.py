@@ -15,22 +15,23 @@ null ids and labels without a document are not learned from; of repeated labels
 the highest counts; without rows of both classes every score is the mean label (0.0 if
 there is none); an empty table gives an empty table; other columns don't matter.
 
-Scale: one map over the documents; the model broadcast is at most
-2^18 * 4 + TERMS * (FACTORS + 1) * 4 bytes, whatever the data.
+Scale: one map over the documents, whose other columns stay where they are; the model
+broadcast is at most 2^18 * 4 + TERMS * (FACTORS + 1) * 4 bytes, whatever the data. To the
+driver go two counts for each of 2^18 buckets, and the learned terms of the sample.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from arcflow.llm.words import LOWER, NORMAL, buffers, hash_words, slices, split
+from arcflow.plans.cut import cut
 
 BITS = 18
 TERMS = 1024
@@ -70,6 +71,15 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
 
 
+def telling_terms(ones: np.ndarray, every: np.ndarray, n: int, toxic: int, n_terms: int) -> np.ndarray:
+    """Buckets most unlike between the classes, by counts in toxic rows and in all; the smaller bucket first among equals."""
+    share = every / n
+    z = (ones - toxic * share) / np.sqrt(np.maximum(toxic * share * (1 - share), 1e-9) + 1)
+    z[every < 3] = 0
+    chosen = np.argsort(-np.abs(z), kind="stable")[:n_terms]
+    return np.sort(chosen[z[chosen] != 0])
+
+
 def fit(found: np.ndarray, offsets: np.ndarray, labels: np.ndarray, n_terms: int = TERMS, n_factors: int = FACTORS, steps: int = STEPS, penalty: float = PENALTY) -> Model:
     """Fit on rows of distinct hashed terms with labels 0 and 1."""
     n, toxic = len(labels), labels == 1
@@ -81,11 +91,7 @@ def fit(found: np.ndarray, offsets: np.ndarray, labels: np.ndarray, n_terms: int
     owner = np.repeat(np.arange(n), np.diff(offsets))
     ones = np.bincount(found[toxic[owner]], minlength=1 << BITS)
     every = np.bincount(found, minlength=1 << BITS)
-    share = every / n
-    z = (ones - toxic.sum() * share) / np.sqrt(np.maximum(toxic.sum() * share * (1 - share), 1e-9) + 1)
-    z[every < 3] = 0
-    chosen = np.argsort(-np.abs(z), kind="stable")[:n_terms]
-    chosen = np.sort(chosen[z[chosen] != 0])
+    chosen = telling_terms(ones, every, n, int(toxic.sum()), n_terms)
     place[chosen] = np.arange(len(chosen))
     at = place[found]
     x = np.zeros((n, len(chosen)), np.float32)
@@ -129,9 +135,17 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
                 found, offsets = terms(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.string()), part.column("label").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found))], names=["id", "label", "found"])
 
-    got = rows.mapInArrow(run, "id string, label int, found array<int>").toArrow()
-    if not got.num_rows:
+    # The sample's terms are counted on the executors; only the chosen ones leave them.
+    found = cut(rows.mapInArrow(run, "id string, label int, found array<int>"))
+    counts = found.select(F.explode("found").alias("term"), "label").groupBy("term").agg(F.count(F.lit(1)).alias("every"), F.sum("label").alias("ones")).toArrow()
+    sizes = found.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")).first()
+    if not sizes["n"]:
         return fit(np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0))
+    every, ones = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    at = counts.column("term").to_numpy()
+    every[at], ones[at] = counts.column("every").to_numpy(), counts.column("ones").to_numpy()
+    chosen = telling_terms(ones, every, sizes["n"], sizes["toxic"], TERMS)
+    got = found.select("id", "label", F.array_intersect("found", F.lit(chosen.tolist()).cast("array<int>")).alias("found")).toArrow()
     got = got.combine_chunks().sort_by([("id", "ascending"), ("label", "ascending")])
     lists = got.column("found").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
@@ -139,18 +153,19 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     return fit(flat, offsets - offsets[0], got.column("label").to_numpy())
 
 
-def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """One row per document row: its id, score in [0, 1], predicted (1 if score >= threshold)."""
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
-    kind = docs.schema[id_col].dataType
-    schema = pa.schema([("id", to_arrow_type(kind)), ("score", pa.float64()), ("predicted", pa.int32())])
+def scorer(spark: SparkSession, model: Model, threshold: float = 0.3) -> Callable[[Column], Column]:
+    """A function of a text column: score in [0, 1], predicted (1 if score >= threshold)."""
+    shared = spark.sparkContext.broadcast(tuple(model))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> pa.Array:
         known = Model(*shared.value)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                score = known.scores(*terms(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("id").cast(schema.field("id").type), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)
+        score = np.concatenate([np.empty(0), *(known.scores(*terms(part.column("text"))) for part in slices(pa.record_batch({"text": texts}), "text"))])
+        return pa.StructArray.from_arrays([pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["score", "predicted"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
+    return F.arrow_udf(run, "score double, predicted int")
+
+
+def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """One row per document row: its id, score in [0, 1], predicted (1 if score >= threshold)."""
+    said = scorer(docs.sparkSession, model, threshold)(F.col(text_col)).alias("said")
+    return docs.select(F.col(id_col).alias("id"), said).select(F.col("id").alias(id_col), "said.score", "said.predicted")
