@@ -11,22 +11,23 @@ or without an id are not searched for; repeated item rows count once; repeated
 document rows each get their own result; either table may be empty; columns other
 than those named are ignored, whatever they are called.
 
-Scale: one map over the documents without a shuffle. The automaton is broadcast as
-its items' text, whose size is measured first; if it exceeds `shard_bytes`, items are
-dealt over several automata, each applied in a pass of its own, and hits are merged.
+Scale: one map over the documents without a shuffle; columns to carry stay where they
+are. The automaton is broadcast as its items' text, whose size is measured first; if it
+exceeds `shard_bytes`, items are dealt over several automata, each applied to all distinct
+texts in a pass of its own, and hits are merged by digest. So each megabyte of items is a
+pass; benchmarks are small against the documents.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from arcflow.llm.words import NORMAL_TABLE, buffers, slices
 
@@ -91,58 +92,55 @@ def scan(automaton: ahocorasick.Automaton, raw: bytes, normal: bytes) -> tuple[i
 _built: dict[object, ahocorasick.Automaton] = {}
 
 
-def _mapper(items, size: int, schema: pa.Schema):
-    """Function for mapInArrow over (id, text) rows; `items` is a broadcast list."""
+SPAN = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
+FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(SPAN))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _finder(items, size: int) -> Callable[[Column], Column]:
+    """A function of a text column to what is found in it; `items` is a broadcast list."""
+
+    def run(texts: pa.Array) -> pa.Array:
         known = items.value
         token = (hash(tuple(known)), size)
         if token not in _built:
             _built.clear()
             _built[token] = build(known, size)
-        automaton = _built[token]
-        for batch in batches:
-            for part in slices(batch, "text"):
-                data, rows = buffers(part.column("text"))
-                raw = data.tobytes()
-                normal = raw.translate(NORMAL_TABLE)
-                out = [scan(automaton, raw[a:b], normal[a:b]) for a, b in zip(rows[:-1], rows[1:], strict=True)]
-                columns = [pa.array(list(x), f.type) for x, f in zip(zip(*out, strict=True), list(schema)[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id").cast(schema.field("id").type), *columns], schema=schema)
-
-    return run
-
+        automaton, out = _built[token], []
+        for part in slices(pa.record_batch({"text": texts}), "text"):
+            data, rows = buffers(part.column("text"))
+            raw = data.tobytes()
+            normal = raw.translate(NORMAL_TABLE)
+            found = [scan(automaton, raw[a:b], normal[a:b]) for a, b in zip(rows[:-1], rows[1:], strict=True)]
+            out.append(pa.StructArray.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*found, strict=True), FOUND, strict=True)], names=[f.name for f in FOUND]))
+        return pa.concat_arrays(out) if out else pa.array([], FOUND)
 
-def _arrow_schema(key_type: pa.DataType) -> pa.Schema:
-    span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
-    return pa.schema([("id", key_type), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(span))])
+    return F.arrow_udf(run, RESULT)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row per document row: its id, n_words, n_hit, item_ids (sorted as strings), spans (code points, end exclusive)."""
+def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document row: its id (or the columns to carry), n_words, n_hit, item_ids (sorted as strings), spans (code points, end exclusive)."""
     spark = docs.sparkSession
     wanted = items.select(F.col(item_id_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null").distinct()
     size = wanted.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(1, math.ceil(size / shard_bytes))
 
     def apply(rows: DataFrame, only: DataFrame) -> DataFrame:
-        kind = rows.schema["id"].dataType
         shared = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in only.collect()])
-        return rows.mapInArrow(_mapper(shared, window, _arrow_schema(to_arrow_type(kind))), f"id {kind.simpleString()}, {RESULT}")
+        return rows.select("row", _finder(shared, window)(F.col("text")).alias("found")).select("row", "found.*")
 
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.struct(*(carry or (id_col,))).alias("row"), F.col(text_col).alias("text"))
     if shards == 1:
-        return apply(base, wanted).withColumnRenamed("id", id_col)
+        return apply(base, wanted).select("row.*", "n_words", "n_hit", "item_ids", "spans")
     # Too many items for one automaton: a pass for each shard over the distinct texts, then the union of their hits.
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    texts = base.groupBy(digest.alias("id")).agg(F.first("text").alias("text"))
+    texts = base.groupBy(digest.alias("row")).agg(F.first("text").alias("text"))
     passes = [apply(texts, wanted.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == k)) for k in range(shards)]
     union = passes[0]
     for more in passes[1:]:
         union = union.unionByName(more)
-    merged = union.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    merged = union.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     union_spans = F.expr("aggregate(spans, cast(array() as array<struct<begin:bigint,end:bigint>>), (a, s) -> case when size(a) > 0 and element_at(a, -1).end >= s.begin then concat(slice(a, 1, size(a) - 1), array(named_struct('begin', element_at(a, -1).begin, 'end', greatest(element_at(a, -1).end, s.end)))) else concat(a, array(s)) end)")
-    spans = merged.withColumn("spans", union_spans).join(texts, "id")
+    spans = merged.withColumn("spans", union_spans).join(texts, "row")
     hit = F.expr("aggregate(spans, 0L, (n, s) -> n + size(regexp_extract_all(substring(text, cast(s.begin + 1 as int), cast(s.end - s.begin as int)), '[^\\\\x00-\\\\x2F\\\\x3A-\\\\x40\\\\x5B-\\\\x60\\\\x7B-\\\\x7F]+', 0)))")
-    found = spans.select(F.col("id").alias("digest"), "n_words", hit.alias("n_hit"), "item_ids", "spans")
-    return base.select("id", digest.alias("digest")).join(found, "digest").drop("digest").withColumnRenamed("id", id_col)
+    found = spans.select(F.col("row").alias("digest"), "n_words", hit.alias("n_hit"), "item_ids", "spans")
+    return base.select("row", digest.alias("digest")).join(found, "digest").select("row.*", "n_words", "n_hit", "item_ids", "spans")
