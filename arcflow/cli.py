@@ -1,6 +1,6 @@
 """Command line: ranks of a binary edge file.
 
-python -m arcflow.cli -f FILE -n NODES -e EDGES [--mode sync|async|mc|linf] [--repeats N] [--target ID]
+python -m arcflow.cli -f FILE -n NODES -e EDGES [--mode sync|async|mc|linf] [--target ID] [--output FOLDER]
 python -m arcflow.cli --preset NAME --folder FOLDER
 """
 
@@ -33,15 +33,24 @@ def parse(arguments: list[str]) -> argparse.Namespace:
     parser.add_argument("--preset", choices=PRESETS)
     parser.add_argument("--folder", default="datasets")
     parser.add_argument("--mode", choices=("sync", "async", "mc", "linf"), default="sync")
-    parser.add_argument("--repeats", type=int, default=1, help="calls that each go on from the last one's values")
-    parser.add_argument("--replicas", type=int, default=1)
+    parser.add_argument("--iterations", type=int, default=fixed.ROUNDS, help="rounds of sync")
+    parser.add_argument("--tolerance", type=float, default=fixed.TOLERANCE, help="change that async and linf allow")
+    parser.add_argument("--damping", type=float, default=fixed.DAMPING)
+    parser.add_argument("--length", type=int, default=walk.LENGTH, help="steps of a walk of mc")
+    parser.add_argument("--seed", type=int, default=walk.SEED, help="of mc")
+    parser.add_argument("--replicas", type=int, default=1, help="walks of mc from each node")
+    parser.add_argument("--repeats", type=int, default=1, help="calls that each go on from the last one's values; not for mc, whose calls start anew")
+    parser.add_argument("--strategy", default="auto", help="auto, task, broadcast or shuffle")
     parser.add_argument("--target", type=int, default=1)
+    parser.add_argument("--output", help="folder for all ranks as Parquet")
     options = parser.parse_args(arguments)
     if options.preset:
         options.nodes, options.edges = PRESETS[options.preset]
         options.file = options.file or f"{options.folder}/{options.preset}.bin"
     if options.file is None or options.nodes is None or options.edges is None:
         parser.error("-f, -n and -e, or --preset, are needed")
+    if options.mode == "mc" and options.repeats != 1:
+        parser.error("--repeats has no meaning for mc; --replicas averages several walks")
     return options
 
 
@@ -53,15 +62,23 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         return 1
     spark = spark or SparkSession.builder.appName("arcflow").getOrCreate()
     began = time.perf_counter()
-    edges = coo.read_coo(spark, options.file, options.edges, options.nodes)
-    graph = Graph(edges, spark.range(options.nodes))
-    graph.sizes  # noqa: B018
+    graph = Graph(coo.read_coo(spark, options.file, options.edges, options.nodes), spark.range(options.nodes))
+    graph.n_pairs  # noqa: B018
     print(f"loading {(time.perf_counter() - began) * 1e6:.0f} us")
     began = time.perf_counter()
-    compute = {"sync": lambda: fixed.rank_sync(graph, repeats=options.repeats), "linf": lambda: fixed.rank_linf(graph), "async": lambda: active.rank_async(graph, repeats=options.repeats), "mc": lambda: walk.rank_monte_carlo(graph, replicas=options.replicas)}
-    value = layout.rank_of(compute[options.mode](), options.target).collect()
+    compute = {
+        "sync": lambda: fixed.rank_sync(graph, options.iterations, options.damping, options.repeats, options.strategy),
+        "linf": lambda: fixed.rank_linf(graph, options.tolerance, options.damping, strategy=options.strategy, repeats=options.repeats),
+        "async": lambda: active.rank_async(graph, options.tolerance, options.damping, options.repeats, strategy=options.strategy),
+        "mc": lambda: walk.rank_monte_carlo(graph, options.length, options.replicas, options.seed, options.damping, options.strategy),
+    }
+    ranks = compute[options.mode]()
     print(f"computing {(time.perf_counter() - began) * 1e6:.0f} us")
+    if options.output:
+        ranks.write.parquet(options.output)
+    value = layout.rank_of(ranks, options.target).collect()
     print(f"rank of {options.target}: {value[0]['value']:.6f}" if value else f"no node {options.target}")
+    graph.release()
     return 0
 
 

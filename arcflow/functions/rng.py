@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +10,3 @@ def uniform(*key: Column | int | str) -> Column:
     """A number in [0, 1) from the first 48 bits of the MD5 of the key's parts joined by colons."""
     parts = [k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in key]
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-
-
-def uniform_value(key: str) -> float:
-    """`uniform` of a joined key."""
-    return int(hashlib.md5(key.encode()).hexdigest()[:12], 16) / (1 << 48)

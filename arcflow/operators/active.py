@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcflow.graph import Graph
-from arcflow.operators.fixed import DAMPING, MAX_ROUNDS, TOLERANCE, placed, start
+from arcflow.operators.fixed import DAMPING, MAX_ROUNDS, TOLERANCE, Placed, placed, start
 from arcflow.plans.arrays import Links, run_in_task
 from arcflow.plans.bounds import choose
 from arcflow.plans.cut import cut
@@ -28,11 +28,9 @@ class Settled(NamedTuple):
     counts: DataFrame
 
 
-def step(links: DataFrame, state: DataFrame, tolerance: float, damping: float, broadcast: bool) -> DataFrame:
+def step(links: Placed, state: DataFrame, tolerance: float, damping: float) -> DataFrame:
     """One round; the nodes' own rows bring their old state, so that it is read once."""
-    small = F.broadcast(state) if broadcast else state
-    joined = links.join(small, links["src"] == small["id"])
-    folded = joined.groupBy("dst").agg(
+    folded = links.meet(state).groupBy("dst").agg(
         (F.lit(1 - damping) + F.lit(damping) * F.sum(F.col("value") * F.col("weight"))).alias("new"),
         F.max(F.when(F.col("own"), F.col("value"))).alias("old"),
         F.bool_or(F.col("own") & F.col("active")).alias("was"),
@@ -43,7 +41,7 @@ def step(links: DataFrame, state: DataFrame, tolerance: float, damping: float, b
 def settle(graph: Graph, tolerance: float = TOLERANCE, damping: float = DAMPING, repeats: int = 1, max_rounds: int = MAX_ROUNDS, strategy: str = "auto") -> Settled:
     """Run `repeats` calls, each with all nodes active from the last one's values."""
     spark = graph.edges.sparkSession
-    plan = choose(strategy, *graph.sizes)
+    plan = choose(strategy, graph)
     failure = f"nodes are still active after {max_rounds} rounds"
     if plan == "task":
 
@@ -63,7 +61,7 @@ def settle(graph: Graph, tolerance: float = TOLERANCE, damping: float = DAMPING,
             kinds = np.repeat([0, 1], [len(value), len(counts)])
             return {"kind": kinds.astype(np.int32), "id": np.concatenate([links.ids, np.arange(1, len(counts) + 1)]).astype(np.int64), "value": np.concatenate([value, counts]).astype(float)}
 
-        both = cut(run_in_task(graph.kept_links, loop, "kind int, id long, value double"))
+        both = cut(run_in_task(graph, loop, "kind int, id long, value double"))
         return Settled(both.where("kind = 0").select("id", "value"), both.where("kind = 1").select(F.col("id").alias("round"), F.col("value").cast("long").alias("active")))
     links, counts = placed(graph, plan), []
     ranks = start(graph, damping)
@@ -72,12 +70,12 @@ def settle(graph: Graph, tolerance: float = TOLERANCE, damping: float = DAMPING,
         while True:
             if rounds == max_rounds:
                 raise RuntimeError(failure)
-            state, rounds = cut(step(links, state, tolerance, damping, plan == "broadcast")), rounds + 1
+            state, rounds = cut(step(links, state, tolerance, damping)), rounds + 1
             counts.append(state.where("active").count())
             if not counts[-1]:
                 break
         ranks = state.select("id", "value")
-    links.unpersist()
+    links.release()
     return Settled(ranks, spark.createDataFrame(list(enumerate(counts, 1)), "round long, active long"))
 
 
@@ -91,8 +89,10 @@ def frontier_positions(graph: Graph, tolerance: float = TOLERANCE, damping: floa
 
     Positions are running sums within ranges of ids plus the ranges' offsets, so that no task sees all nodes.
     """
-    state = step(graph.links(), start(graph, damping).withColumn("active", F.lit(True)), tolerance, damping, False)
-    return positions(state.where("active").select("id"))
+    links = placed(graph, "shuffle")
+    out = positions(step(links, start(graph, damping).withColumn("active", F.lit(True)), tolerance, damping).where("active").select("id"))
+    links.release()
+    return out
 
 
 def positions(rows: DataFrame, column: str = "id", name: str = "position") -> DataFrame:

@@ -7,6 +7,8 @@ have the base value.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +17,14 @@ from arcflow.graph import Graph
 from arcflow.plans.arrays import Links, run_in_task
 from arcflow.plans.bounds import choose
 from arcflow.plans.cut import cut
+from arcflow.plans.spread import hot_limit
 
 DAMPING = 0.85
 TOLERANCE = 0.0015
 ROUNDS = 50
 MAX_ROUNDS = 10_000
+#: Rounds of a fixed number between cuts of the lineage: what a lost executor costs at most.
+CUT_EVERY = 5
 
 RANKS = "id long, value double"
 
@@ -36,23 +41,56 @@ def messages(graph: Graph, ranks: DataFrame, damping: float = DAMPING) -> DataFr
     return graph.edges.join(sources, "src").select("src", "dst", "message")
 
 
-def step(links: DataFrame, ranks: DataFrame, damping: float, broadcast: bool) -> DataFrame:
-    """One round as a join and a partial and final sum: (id, value, old)."""
-    small = F.broadcast(ranks) if broadcast else ranks
-    joined = links.join(small, links["src"] == small["id"])
-    total = F.lit(1 - damping) + F.lit(damping) * F.sum(F.col("value") * F.col("weight"))
-    return joined.groupBy("dst").agg(total.alias("new"), F.max(F.when(F.col("own"), F.col("value"))).alias("old")).select(F.col("dst").alias("id"), F.col("new").alias("value"), "old")
+class Placed(NamedTuple):
+    """Links as a loop's rounds want them, kept on the executors, so that no round moves a link.
+
+    With broadcast ranks they lie by destination. Otherwise they lie by source, where the rounds send the ranks;
+    those of hubs, fewer than twice the number of partitions, lie by destination and get the hubs' ranks by broadcast.
+    """
+
+    links: DataFrame
+    hub_links: DataFrame | None
+    hubs: DataFrame | None
+    broadcast: bool
+
+    def meet(self, state: DataFrame) -> DataFrame:
+        """Links with the columns of `state` (id, ...) at their source."""
+        if self.broadcast:
+            return self.links.join(F.broadcast(state), self.links["src"] == state["id"])
+        met = self.links.join(state, self.links["src"] == state["id"])
+        if self.hub_links is None:
+            return met
+        few = state.join(F.broadcast(self.hubs), "id").select(*state.columns)
+        return met.unionByName(self.hub_links.join(F.broadcast(few), self.hub_links["src"] == few["id"]))
+
+    def release(self) -> None:
+        for kept in (self.links, self.hub_links):
+            if kept is not None:
+                kept.unpersist()
 
 
-def placed(graph: Graph, plan: str) -> DataFrame:
-    """Links as a loop wants them: by destination if ranks are broadcast, so that sums need no shuffle."""
-    return graph.kept_links.repartition("dst").persist() if plan == "broadcast" else graph.kept_links
+def placed(graph: Graph, plan: str) -> Placed:
+    parts = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = graph.links()
+    if plan == "broadcast":
+        return Placed(links.repartition(parts, "dst").persist(), None, None, True)
+    hubs = cut(graph.kept_pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_limit(graph.edges, graph.n_pairs)).select(F.col("src").alias("id")))
+    if hubs.isEmpty():
+        return Placed(links.repartition(parts, "src").persist(), None, None, False)
+    own = F.broadcast(hubs.withColumnRenamed("id", "src"))
+    return Placed(links.join(own, "src", "left_anti").repartition(parts, "src").persist(), links.join(own, "src").repartition(parts, "dst").persist(), hubs, False)
+
+
+def step(links: Placed, ranks: DataFrame, damping: float) -> DataFrame:
+    """One round as a join and a partial and final sum: (id, value, old)."""
+    total = F.lit(1 - damping) + F.lit(damping) * F.sum(F.col("value") * F.col("weight"))
+    return links.meet(ranks).groupBy("dst").agg(total.alias("new"), F.max(F.when(F.col("own"), F.col("value"))).alias("old")).select(F.col("dst").alias("id"), F.col("new").alias("value"), "old")
 
 
 def rank_sync(graph: Graph, iterations: int = ROUNDS, damping: float = DAMPING, repeats: int = 1, strategy: str = "auto") -> DataFrame:
     """Ranks (id, value) after `iterations` rounds; `repeats` calls each go on from the last one's values."""
     rounds = iterations * repeats
-    plan = choose(strategy, *graph.sizes)
+    plan = choose(strategy, graph)
     if plan == "task":
 
         def loop(links: Links) -> dict[str, np.ndarray]:
@@ -61,33 +99,42 @@ def rank_sync(graph: Graph, iterations: int = ROUNDS, damping: float = DAMPING,
                 value = (1 - damping) + damping * links.gather(value)
             return {"id": links.ids, "value": value}
 
-        return cut(run_in_task(graph.kept_links, loop, RANKS))
+        return cut(run_in_task(graph, loop, RANKS))
     links, ranks = placed(graph, plan), start(graph, damping)
-    for _ in range(rounds):
-        ranks = cut(step(links, ranks, damping, plan == "broadcast").select("id", "value"))
-    links.unpersist()
+    for k in range(1, rounds + 1):
+        ranks = step(links, ranks, damping).select("id", "value")
+        if k % CUT_EVERY == 0 or k == rounds:
+            ranks = cut(ranks)
+    links.release()
     return ranks
 
 
-def rank_linf(graph: Graph, tolerance: float = TOLERANCE, damping: float = DAMPING, max_rounds: int = MAX_ROUNDS, strategy: str = "auto") -> DataFrame:
-    """Rounds as in `rank_sync` until no value changes by more than `tolerance`."""
-    plan = choose(strategy, *graph.sizes)
+def rank_linf(graph: Graph, tolerance: float = TOLERANCE, damping: float = DAMPING, max_rounds: int = MAX_ROUNDS, strategy: str = "auto", repeats: int = 1) -> DataFrame:
+    """Rounds as in `rank_sync` until no value changes by more than `tolerance`; `repeats` calls each go on from the last one's values."""
+    failure = f"values still change after {max_rounds} rounds"
+    plan = choose(strategy, graph)
     if plan == "task":
 
         def loop(links: Links) -> dict[str, np.ndarray]:
             value = np.full(len(links.ids), damping)
-            for _ in range(max_rounds):
-                old, value = value, (1 - damping) + damping * links.gather(value)
-                if np.abs(value - old).max(initial=0) <= tolerance:
-                    return {"id": links.ids, "value": value}
-            raise RuntimeError(f"values still change after {max_rounds} rounds")
+            for _ in range(repeats):
+                for k in range(max_rounds + 1):
+                    if k == max_rounds:
+                        raise RuntimeError(failure)
+                    old, value = value, (1 - damping) + damping * links.gather(value)
+                    if np.abs(value - old).max(initial=0) <= tolerance:
+                        break
+            return {"id": links.ids, "value": value}
 
-        return cut(run_in_task(graph.kept_links, loop, RANKS))
+        return cut(run_in_task(graph, loop, RANKS))
     links, ranks = placed(graph, plan), start(graph, damping)
-    for _ in range(max_rounds):
-        both = cut(step(links, ranks, damping, plan == "broadcast"))
-        ranks = both.select("id", "value")
-        if (both.agg(F.max(F.abs(F.col("value") - F.col("old"))).alias("d")).first()["d"] or 0) <= tolerance:
-            links.unpersist()
-            return ranks
-    raise RuntimeError(f"values still change after {max_rounds} rounds")
+    for _ in range(repeats):
+        for k in range(max_rounds + 1):
+            if k == max_rounds:
+                raise RuntimeError(failure)
+            both = cut(step(links, ranks, damping))
+            ranks = both.select("id", "value")
+            if (both.agg(F.max(F.abs(F.col("value") - F.col("old"))).alias("d")).first()["d"] or 0) <= tolerance:
+                break
+    links.release()
+    return ranks

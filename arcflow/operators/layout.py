@@ -9,13 +9,19 @@ from arcflow.graph import Graph
 from arcflow.plans.cut import cut
 
 
-def running_offsets(degrees: DataFrame) -> DataFrame:
-    """(id, degree, first): the sum of the degrees of all smaller ids, by ranges of ids and the ranges' totals."""
-    rows = cut(degrees.repartitionByRange("id").sortWithinPartitions("id")).withColumn("part", F.spark_partition_id())
-    totals = rows.groupBy("part").agg(F.sum("degree").alias("n"))  # a row for each partition
+def running_sums(rows: DataFrame, order: list[str], column: str, name: str) -> DataFrame:
+    """`rows` with the sum of a column over all rows before, by ranges of the order and the ranges' totals."""
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("part", F.spark_partition_id())
+    totals = placed.groupBy("part").agg(F.sum(column).alias("n"))  # a row for each partition
     base = totals.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("base"))
-    within = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("inner", F.coalesce(F.sum("degree").over(within), F.lit(0))).join(F.broadcast(base), "part").select("id", "degree", (F.col("base") + F.col("inner")).alias("first"))
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = F.coalesce(F.sum(column).over(within), F.lit(0))
+    return placed.withColumn("inner", inner).join(F.broadcast(base), "part").select(*rows.columns, (F.col("base") + F.col("inner")).alias(name))
+
+
+def running_offsets(degrees: DataFrame) -> DataFrame:
+    """(id, degree, first): the sum of the degrees of all smaller ids."""
+    return running_sums(degrees, ["id"], "degree", "first")
 
 
 def row_offsets(graph: Graph) -> DataFrame:

@@ -13,80 +13,120 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcflow.functions.rng import uniform, uniform_value
+from arcflow.functions.rng import uniform
 from arcflow.graph import Graph
-from arcflow.operators.fixed import DAMPING, placed
-from arcflow.operators.fixed import step as fixed_step
+from arcflow.operators.fixed import CUT_EVERY, DAMPING, placed
+from arcflow.operators.layout import running_sums
 from arcflow.plans.arrays import Links, run_in_task
-from arcflow.plans.bounds import TASK_EDGES, choose
+from arcflow.plans.bounds import WALK_EDGES, choose
 from arcflow.plans.cut import cut
 
 LENGTH = 100
 SEED = 42
 #: Steps between cuts of the lineage.
-BLOCK = 5
+BLOCK = 10
+#: Neighbours in one row of the adjacency that walks join with.
+ROW = 1024
+#: Walkers in one batch of a task.
+BATCH = 10_000
 
 
 def visits(graph: Graph, length: int = LENGTH, replicas: int = 1, seed: int = SEED, damping: float = DAMPING, strategy: str = "auto") -> DataFrame:
     """(id, visits) of every node over all replicas."""
-    if strategy == "auto":
-        strategy = "task" if graph.edges.limit(TASK_EDGES + 1).count() <= TASK_EDGES else "shuffle"
+    plan = choose(strategy, graph, WALK_EDGES)
+    compute = _walk_in_tasks if plan == "task" else _walk_by_joins
     walkers = graph.nodes.select(F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))).alias("replica"), F.col("id").alias("source"))
-    counted = _walk_in_tasks(graph, walkers, length, seed, damping) if strategy == "task" else _walk_by_joins(graph, walkers, length, seed, damping)
+    counted = compute(graph, walkers, length, seed, damping)
     zero = graph.nodes.select("id", F.lit(0).cast("long").alias("n"))
-    return zero.unionByName(counted).groupBy("id").agg(F.sum("n").alias("visits"))
+    return cut(zero.unionByName(counted).groupBy("id").agg(F.sum("n").alias("visits")))
 
 
-def _walk_by_joins(graph: Graph, walkers: DataFrame, length: int, seed: int, damping: float) -> DataFrame:
-    """All walkers advance in step: a left join with the adjacency at their place; visits are counted every `BLOCK` steps."""
-    adjacency = graph.adjacency().persist()
-    state, counts = walkers.withColumn("cur", F.col("source")), []
+def neighbour_rows(graph: Graph, size: int = ROW) -> DataFrame:
+    """(src, row, nbrs array<struct<id, deg>>): out-neighbours in order, repeated as edges are, with their out-degrees, `size` to a row."""
+    pairs = running_sums(graph.kept_pairs, ["src", "dst"], "n", "at")
+    first = pairs.groupBy("src").agg(F.min("at").alias("first"))
+    degree = graph.kept_pairs.groupBy(F.col("src").alias("dst")).agg(F.sum("n").alias("deg"))
+    named = pairs.join(first, "src").join(degree, "dst", "left")
+    place = F.explode(F.sequence(F.col("at") - F.col("first"), F.col("at") - F.col("first") + F.col("n") - 1)).alias("place")
+    edges = named.select("src", F.struct(F.col("dst").alias("id"), F.coalesce("deg", F.lit(0)).alias("deg")).alias("nbr"), place)
+    rows = edges.groupBy("src", F.floor(F.col("place") / size).alias("row")).agg(F.array_sort(F.collect_list(F.struct("place", "nbr"))).alias("nbrs"))
+    return rows.select("src", "row", F.transform("nbrs", lambda x: x["nbr"]).alias("nbrs"))
+
+
+def _walk_by_joins(graph: Graph, walkers: DataFrame, length: int, seed: int, damping: float, size: int = ROW) -> DataFrame:
+    """All walkers advance in step. A walker knows the degree of its place, so its draw names one row of neighbours, of bounded size,
+    and those at a hub spread over the hub's rows; visits are counted every `BLOCK` steps."""
+    parts = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = neighbour_rows(graph, size).repartition(parts, "src", "row").persist()
+    degree = graph.out_degree().select(F.col("id").alias("source"), F.col("degree").alias("home"))
+    state = walkers.join(degree, "source").select("replica", "source", "home", F.col("source").alias("cur"), F.col("home").alias("deg"))
+    counts = []
     for first in range(0, length, BLOCK):
         state = state.withColumn("seen", F.array().cast("array<long>"))
         for t in range(first, min(first + BLOCK, length)):
-            joined = state.join(adjacency, state["cur"] == adjacency["src"], "left")
-            go = uniform(seed, F.col("replica"), F.col("source"), t, "a") < damping
-            k = F.floor(uniform(seed, F.col("replica"), F.col("source"), t, "b") * F.col("deg")).cast("int")
-            after = F.when(go, F.coalesce(F.get("nbrs", k), F.col("cur"))).otherwise(F.col("source"))
-            state = joined.select("replica", "source", after.alias("cur"), F.concat("seen", F.array(after)).alias("seen"))
+            draw = lambda slot: uniform(seed, F.col("replica"), F.col("source"), t, slot)  # noqa: B023, E731
+            go = F.when(draw("a") < damping, F.when(F.col("deg") > 0, F.floor(draw("b") * F.col("deg"))).otherwise(-1))
+            walking = state.withColumn("k", go).withColumn("row", F.floor(F.col("k") / size))
+            joined = walking.join(rows, (walking["cur"] == rows["src"]) & (walking["row"] == rows["row"]), "left")
+            to = F.get("nbrs", (F.col("k") % size).cast("int"))
+            move = lambda home, stay, there: F.when(F.col("k").isNull(), F.col(home)).when(F.col("k") < 0, F.col(stay)).otherwise(there)
+            state = joined.select("replica", "source", "home", move("source", "cur", to["id"]).alias("cur"), move("home", "deg", to["deg"]).alias("deg"), "seen")
+            state = state.withColumn("seen", F.concat("seen", F.array("cur")))
         block = cut(state)
         counts.append(cut(block.select(F.explode("seen").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))))
         state = block.drop("seen")
-    adjacency.unpersist()
+    rows.unpersist()
     return reduce(DataFrame.unionByName, counts)
 
 
+def _draws(seed: int, length: int, slot: str) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda t: uniform(seed, F.col("replica"), F.col("source"), t, slot))
+
+
 def _walk_in_tasks(graph: Graph, walkers: DataFrame, length: int, seed: int, damping: float) -> DataFrame:
-    """Each task walks its walkers over the broadcast adjacency, whose size was checked, and counts their visits."""
-    rows = graph.edges.toArrow()
-    src, dst = rows.column("src").to_numpy(), rows.column("dst").to_numpy()
+    """Each task walks its walkers together over the broadcast adjacency, whose size was checked, and counts their visits."""
+    rows = graph.kept_pairs.toArrow()
+    src, dst, n = (rows.column(c).to_numpy() for c in ("src", "dst", "n"))
     order = np.lexsort((dst, src))
-    shared = graph.edges.sparkSession.sparkContext.broadcast((src[order], dst[order]))
+    src, dst, n = src[order], dst[order], n[order]
+    ids = np.unique(np.concatenate([src, dst]))
+    edges = np.bincount(np.searchsorted(ids, src), n, len(ids)).astype(np.int64)
+    shared = graph.edges.sparkSession.sparkContext.broadcast((ids, edges, np.searchsorted(ids, dst).astype(np.int32), None if (n == 1).all() else np.cumsum(n)))
+
+    def walk(sources: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        ids, degree, targets, ends = shared.value
+        first = np.cumsum(degree) - degree
+        # Sources that no edge names have a place of their own, after the others.
+        names, home = np.unique(np.concatenate([ids, sources]), return_inverse=True) if len(sources) else (ids, np.arange(len(ids)))
+        place, home = home[: len(ids)], home[len(ids) :]
+        old = np.full(len(names), -1)
+        old[place] = np.arange(len(ids))
+        cur, seen = home, np.empty((length, len(home)), np.int64)
+        for t in range(length):
+            at = old[cur]
+            deg = np.where(at >= 0, degree[at], 0)
+            edge = first[at] + np.floor(b[:, t] * deg).astype(np.int64)
+            edge = np.where(deg > 0, edge, 0)
+            pick = edge if ends is None else np.searchsorted(ends, edge, "right")
+            on = np.where(deg > 0, place[targets[pick]], cur) if len(targets) else cur
+            seen[t] = cur = np.where(a[:, t] < damping, on, home)
+        counts = np.bincount(seen.ravel(), minlength=len(names))
+        some = np.flatnonzero(counts)
+        return pa.RecordBatch.from_pydict({"id": names[some], "n": counts[some]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sources, targets = shared.value
-        keys, first, sizes = np.unique(sources, return_index=True, return_counts=True)
-        places = {k: (a, n) for k, a, n in zip(keys.tolist(), first.tolist(), sizes.tolist(), strict=True)}
-        seen: dict[int, int] = {}
-        for batch in batches:
-            for replica, source in zip(batch.column("replica").to_pylist(), batch.column("source").to_pylist(), strict=True):
-                cur, key = source, f"{seed}:{replica}:{source}:"
-                for t in range(length):
-                    if uniform_value(f"{key}{t}:a") < damping:
-                        a, n = places.get(cur, (0, 0))
-                        if n:
-                            cur = int(targets[a + int(uniform_value(f"{key}{t}:b") * n)])
-                    else:
-                        cur = source
-                    seen[cur] = seen.get(cur, 0) + 1
-        if seen:
-            yield pa.RecordBatch.from_pydict({"id": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
+        for whole in batches:
+            for k in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(k, BATCH)
+                a, b = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, length) for c in ("a", "b"))
+                yield walk(batch.column("source").to_numpy(), a, b)
 
     parts = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return walkers.repartition(parts, "source").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    drawn = walkers.repartition(parts, "source").select("source", _draws(seed, length, "a").alias("a"), _draws(seed, length, "b").alias("b"))
+    return drawn.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def rank_monte_carlo(graph: Graph, length: int = LENGTH, replicas: int = 1, seed: int = SEED, damping: float = DAMPING, strategy: str = "auto") -> DataFrame:
@@ -96,26 +136,26 @@ def rank_monte_carlo(graph: Graph, length: int = LENGTH, replicas: int = 1, seed
 
 def rank_expected(graph: Graph, length: int = LENGTH, damping: float = DAMPING, strategy: str = "auto") -> DataFrame:
     """The expectation of `rank_monte_carlo`: the mean of rounds 1 to `length` from 1, nodes without out-edges passing to themselves."""
-    stuck = graph.out_degree().where("degree = 0").select("id")
-    whole = Graph(graph.edges.unionByName(stuck.select(F.col("id").alias("src"), F.col("id").alias("dst"))), graph.nodes)
-    plan = choose(strategy, *whole.sizes)
+    plan = choose(strategy, graph)
     if plan == "task":
 
         def loop(links: Links) -> dict[str, np.ndarray]:
             value, total = np.ones(len(links.ids)), np.zeros(len(links.ids))
             for _ in range(length):
-                value = (1 - damping) + damping * links.gather(value)
+                value = (1 - damping) + damping * (links.gather(value) + np.where(links.degree == 0, value, 0))
                 total += value
             return {"id": links.ids, "value": total / length}
 
-        out = cut(run_in_task(whole.kept_links, loop, "id long, value double"))
-        whole.release()
-        return out
-    links, ranks = placed(whole, plan), whole.nodes.select("id", F.lit(1.0).alias("value"))
-    total = None
-    for _ in range(length):
-        ranks = cut(fixed_step(links, ranks, damping, plan == "broadcast").select("id", "value"))
-        total = ranks if total is None else cut(total.unionByName(ranks).groupBy("id").agg(F.sum("value").alias("value")))
-    links.unpersist()
+        return cut(run_in_task(graph, loop, "id long, value double"))
+    stuck = graph.out_degree().where("degree = 0").select("id")
+    whole = Graph(graph.edges.unionByName(stuck.select(F.col("id").alias("src"), F.col("id").alias("dst"))), graph.nodes)
+    links, state = placed(whole, plan), whole.nodes.select("id", F.lit(1.0).alias("value"), F.lit(0.0).alias("total"))
+    new = F.lit(1 - damping) + F.lit(damping) * F.sum(F.col("value") * F.col("weight"))
+    for k in range(1, length + 1):
+        # What is summed so far goes along with the ranks.
+        state = links.meet(state).groupBy("dst").agg(new.alias("value"), (F.max(F.when(F.col("own"), F.col("total"))) + new).alias("total")).withColumnRenamed("dst", "id")
+        if k % CUT_EVERY == 0 or k == length:
+            state = cut(state)
+    links.release()
     whole.release()
-    return total.select("id", (F.col("value") / length).alias("value"))
+    return state.select("id", (F.col("total") / length).alias("value"))

@@ -7,26 +7,36 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from arcflow.graph import Graph
 
 
 class Links:
-    """Weighted links between dense positions of sorted node ids."""
+    """Weighted links between dense positions of sorted node ids; rows of no edges name a node alone."""
 
-    def __init__(self, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> None:
+    def __init__(self, src: np.ndarray, dst: np.ndarray, n: np.ndarray) -> None:
         self.ids, where = np.unique(np.concatenate([src, dst]), return_inverse=True)
-        self.src, self.dst, self.weight = where[: len(src)], where[len(src) :], weight
+        self.src, self.dst = where[: len(src)], where[len(src) :]
+        self.degree = np.bincount(self.src, n, len(self.ids))
+        some = n > 0
+        self.src, self.dst = self.src[some], self.dst[some]
+        self.weight = n[some] / self.degree[self.src]
 
     def gather(self, value: np.ndarray) -> np.ndarray:
         """Weighted sum over each node's in-links."""
         return np.bincount(self.dst, value[self.src] * self.weight, len(self.ids))
 
 
-def run_in_task(links: DataFrame, loop: Callable[[Links], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """Apply `loop` to all of `links` (src, dst, weight) in one task; the caller has checked their number."""
+def run_in_task(graph: Graph, loop: Callable[[Links], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """Apply `loop` to the whole graph in one task; the caller has checked its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst", "weight")) for batch in batches]
+        parts = [tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst", "n")) for batch in batches]
         if parts:
             yield pa.RecordBatch.from_pydict(loop(Links(*map(np.concatenate, zip(*parts, strict=True)))))
 
-    return links.select("src", "dst", "weight").repartition(1).mapInArrow(run, schema)
+    rows = graph.kept_pairs
+    if graph.given is not None:
+        rows = rows.unionByName(graph.given.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).cast("long").alias("n")))
+    return rows.repartition(1).mapInArrow(run, schema)

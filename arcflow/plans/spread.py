@@ -1,13 +1,14 @@
 """Joins of many rows with one row for each key, where a key may hold a large share of the rows.
 
 Adaptive execution splits a hot partition of a join only if both its inputs come straight
-from a shuffle, and only beyond a size. So hot keys are taken out by their counts: their
-rows stay where they are and meet a broadcast, the others are shuffled.
+from a shuffle, and only beyond a size. So hot keys are named by their counts, and both
+sides are dealt by key and salt: a hot key has a salt for each even partition's share of
+its rows, and its one row on the other side is repeated for each salt.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,16 +17,31 @@ def hot_limit(rows: DataFrame, total: int) -> int:
     return max(1, total // (2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def join_counted(rows: DataFrame, single: DataFrame, keys: list[str], count: str, total: int, most: int | None = None) -> DataFrame:
+def salts_of(hot: dict, limit: int, key: str) -> Column:
+    """Number of salts of each row's key: a power of two that leaves a salt about `limit` rows, 1 if the key isn't among the hot."""
+    tiers: dict[int, list] = {}
+    for value, n in hot.items():
+        tiers.setdefault(1 << (-(-n // limit) - 1).bit_length(), []).append(value)
+    out = F.lit(1)
+    for salts, values in tiers.items():
+        out = F.when(F.col(key).isin(values), salts).otherwise(out)
+    return out
+
+
+def join_counted(rows: DataFrame, single: DataFrame, keys: list[str], count: str, spread: list[str]) -> DataFrame:
     """Inner join of `rows` with `single`, in which each key is once and `count` is the number of its `rows`.
 
-    `total` is the number of all rows, `most` the highest count if it is known. Fewer than 2 * partitions rows
-    of `single` are broadcast. `single` is read several times, so it should be written or cheap.
+    Rows of a hot key are dealt by `spread`, columns of `rows`. Hot keys are named by their first column;
+    fewer than 2 * partitions go to the driver. `single` is read several times, so it should be written or cheap.
     """
-    limit = hot_limit(rows, total)
-    if most is None:
-        most = single.agg(F.max(count)).first()[0] or 0
-    if most <= limit:
+    sizes = single.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
+    limit = hot_limit(rows, sizes["total"] or 0)
+    if (sizes["most"] or 0) <= limit:
         return rows.join(single, keys)
-    few, many = single.where(F.col(count) > limit), single.where(F.col(count) <= limit)
-    return rows.join(F.broadcast(few), keys).unionByName(rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(many, keys))
+    hot: dict = {}
+    for r in single.where(F.col(count) > limit).select(keys[0], count).collect():
+        hot[r[0]] = max(r[1], hot.get(r[0], 0))
+    salts = salts_of(hot, limit, keys[0])
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), salts).cast("int"))
+    repeated = single.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from arcflow import views
 from arcflow.graph import Graph
 from arcflow.operators import active, fixed, layout, walk
+from arcflow.plans.cut import ensure_folder
+from arcflow.sources import coo
 from arcflow.sources import edges as edge_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,7 +28,7 @@ def _rounded(ranks: DataFrame) -> DataFrame:
 
 
 def _over(view: str, compute: Callable[[Graph], DataFrame]) -> Query:
-    """Compute over a view's graph; ranks are written before the graph's kept links go."""
+    """Compute over a view's graph; loops write their ranks before what the graph keeps goes."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         graph = graph_of(spark, sf_dir, view)
@@ -52,6 +55,34 @@ def _messages(graph: Graph) -> DataFrame:
     return fixed.messages(graph, fixed.start(graph)).select("src", "dst", F.round("message", 9).alias("message"))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new place in the folder that all executors share."""
+    ensure_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/edges-{uuid.uuid4().hex}"
+
+
+def _coo_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges written to a binary file and read again."""
+    found, path = graph_of(spark, sf_dir, "part_chain").edges, _folder(spark)
+    total = coo.write_coo(found, path)
+    return coo.read_coo(spark, path, total)
+
+
+def _text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges written as text and read again, with dense ids."""
+    path = _folder(spark)
+    edge_source.write_edge_text(graph_of(spark, sf_dir, "part_chain").edges, path)
+    found = edge_source.read_edge_text(spark, path)
+    return edge_source.remap(found, edge_source.dense_ids(found))
+
+
+def _parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges written by destination and read again."""
+    path = _folder(spark)
+    edge_source.write_edge_parquet(graph_of(spark, sf_dir, "part_chain").edges, path)
+    return edge_source.read_edge_parquet(spark, path)
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "out_degree": _over("part_chain", Graph.out_degree),
@@ -80,6 +111,17 @@ def queries() -> dict[str, Query]:
         "mc_replicas3_nation_trade": _over("nation_trade", lambda g: _rounded(walk.rank_monte_carlo(g, replicas=3))),
         "mc_expected_part_chain": _over("part_chain", lambda g: _rounded(walk.rank_expected(g))),
         "mc_expected_cust_supp": _over("cust_supp", lambda g: _rounded(walk.rank_expected(g))),
+        # The plans of graphs too large for one task.
+        "sync_broadcast_part_chain": _over("part_chain", lambda g: _rounded(fixed.rank_sync(g, strategy="broadcast"))),
+        "sync_shuffle_part_chain": _over("part_chain", lambda g: _rounded(fixed.rank_sync(g, strategy="shuffle"))),
+        "linf_shuffle_part_chain": _over("part_chain", lambda g: _rounded(fixed.rank_linf(g, strategy="shuffle"))),
+        "async_broadcast_part_chain": _over("part_chain", lambda g: _rounded(active.rank_async(g, strategy="broadcast"))),
+        "async_shuffle_part_chain": _over("part_chain", lambda g: _rounded(active.rank_async(g, strategy="shuffle"))),
+        "mc_lockstep_part_chain": _over("part_chain", lambda g: _rounded(walk.rank_monte_carlo(g, strategy="shuffle"))),
+        "mc_expected_shuffle_cust_supp": _over("cust_supp", lambda g: _rounded(walk.rank_expected(g, strategy="shuffle"))),
+        "coo_roundtrip": _coo_roundtrip,
+        "text_roundtrip": _text_roundtrip,
+        "parquet_roundtrip": _parquet_roundtrip,
         "node_rank_lookup": _over("part_chain", lambda g: _rounded(layout.rank_of(fixed.rank_sync(g), 1))),
         "rank_top10": _over("part_chain", lambda g: layout.top_ranks(_rounded(fixed.rank_sync(g)))),
     }
@@ -167,6 +209,16 @@ def oracle_sql() -> dict[str, str]:
         "mc_replicas3_nation_trade": _walk_sql("nation_trade", 3),
         "mc_expected_part_chain": _expected_sql("part_chain"),
         "mc_expected_cust_supp": _expected_sql("cust_supp"),
+        "sync_broadcast_part_chain": out["sync_part_chain"],
+        "sync_shuffle_part_chain": out["sync_part_chain"],
+        "linf_shuffle_part_chain": _linf_sql("part_chain"),
+        "async_broadcast_part_chain": _async_sql("part_chain"),
+        "async_shuffle_part_chain": _async_sql("part_chain"),
+        "mc_lockstep_part_chain": _walk_sql("part_chain"),
+        "mc_expected_shuffle_cust_supp": _expected_sql("cust_supp"),
+        "coo_roundtrip": _prelude("part_chain") + " select src, dst from edges",
+        "text_roundtrip": _prelude("part_chain") + ", dense as (select id as raw, row_number() over (order by id) - 1 as id from nodes) select a.id::bigint as src, b.id::bigint as dst from edges join dense a on a.raw = src join dense b on b.raw = dst",
+        "parquet_roundtrip": _prelude("part_chain") + " select src, dst from edges",
         "node_rank_lookup": _sync_sql("part_chain", 50, "select id, round(v, 9) as value from pr where it = {n} and id = 1"),
         "rank_top10": _sync_sql("part_chain", 50, "select id, round(v, 9) as value from pr where it = {n} order by round(v, 9) desc, id limit 10"),
     }

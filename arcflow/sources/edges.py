@@ -13,6 +13,11 @@ def read_edge_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", comment="#", schema="src long, dst long")
 
 
+def write_edge_text(edges: DataFrame, path: str) -> None:
+    """Write tab-separated text without a header."""
+    edges.select("src", "dst").write.csv(path, sep="\t")
+
+
 def read_edge_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
 
