@@ -29,20 +29,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Large-star: every greater neighbour of a node moves to the smallest of its neighbourhood. Small-star:
     a node's smaller neighbours and the node itself move to the smallest of them. Rounds end when every
     node with a smaller neighbour has no other. Each step is cut, so that a lost executor costs no more.
-    Minima are partial sums; the rows of hubs meet them by a broadcast of the hubs alone (see `join_counted`).
+    Minima are partial sums; the rows of hubs are salted where they meet them (see `join_counted`).
     """
     current = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     n = current.count()
     for _ in range(MAX_ROUNDS):
         both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = _least(both, 2 * n)
-        look = least.agg(F.count_if(F.expr("m < a and n > 1")).alias("open"), F.max("n").alias("most")).first()
-        if not look["open"]:
+        if least.where("m < a and n > 1").isEmpty():
             break
-        large = join_counted(both, least.select("a", F.least("a", "m").alias("m"), "n"), ["a"], "n", 2 * n, look["most"])
+        large = join_counted(both, least.select("a", F.least("a", "m").alias("m"), "n"), ["a"], "n", ["b"])
         current = _distinct(large.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), n)
         least = _least(current, n)
-        moved = join_counted(current, least, ["a"], "n", n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = join_counted(current, least, ["a"], "n", ["b"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         current = _distinct(moved.union(least.select("a", F.col("m").alias("b"))), n)
     else:
         raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")

@@ -15,8 +15,8 @@ with nothing. Two documents are linked if 100 * intersection >= 75 * union.
    that is 5.5 standard deviations low); the rest are confirmed on the full sets. A block
    returns no more links than it has documents. Groups of several blocks compare each
    block in itself and with the group's first document.
-4. Groups that have documents outside their largest component after that are dealt anew by
-   rare shingles. With shingles in order of a sketched frequency, of two linked sets the
+4. Documents outside their group's largest component after that meet all its blocks, if they
+   are at most 2 * `BLOCK`; a group with more is dealt anew by rare shingles. With shingles in order of a sketched frequency, of two linked sets the
    smaller has a common shingle among its first n - ceil(6 n / 7) + 1, and the larger has it
    among its first n - ceil(3 n / 4) + 1: what a template of lower similarity shares isn't
    there, so its documents share no bucket. Members that a bucket has by the shorter
@@ -32,7 +32,7 @@ empty table; columns other than the named are ignored.
 
 Scale: the shuffles are of signatures, of bucket keys (twice), and of texts. No task sees
 a whole bucket or group; buckets are counted with partial sums, and the rows of hot keys
-meet their counts by a broadcast of the hot keys alone (see `join_counted`). The sketch has
+are salted where they meet their counts (see `join_counted`). The sketch has
 `CELLS` counters whatever the data. Nothing else about documents goes to the driver.
 """
 
@@ -232,7 +232,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.min(F.struct("id", "text_hash")).alias("first")
     classes = cut(some.groupBy("s1", "s2").agg(first, F.first("signature").alias("signature"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows")).select("s1", "s2", "first.*", "signature", "keys", "rows"))
     links = _candidate_links(classes, rows)
-    total = base.count()
     # Rows that share an id are linked, and each class with its first.
     shared = some.groupBy("id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("id")
     members = some.select("id", "s1", "s2").join(shared, "id", "left_semi")
@@ -240,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     components = connected_components(links.union(own))
     of_class = classes.select("s1", "s2", "rows", F.col("id").alias("node")).join(components, "node", "left").select("s1", "s2", "rows", F.coalesce("component", "node").alias("component"))
     rest = base.where("n = 0 or id is null").select("id", "own", "text_hash", "n", F.col("id").alias("component"))
-    found = join_counted(some.select("id", "own", "text_hash", "n", "s1", "s2"), cut(of_class.select("s1", "s2", "rows", "component")), ["s1", "s2"], "rows", total).select("id", "own", "text_hash", "n", "component")
+    found = join_counted(some.select("id", "own", "text_hash", "n", "s1", "s2"), cut(of_class.select("s1", "s2", "rows", "component")), ["s1", "s2"], "rows", ["id", "text_hash"]).select("id", "own", "text_hash", "n", "component")
     out = found.union(rest).distinct()
     kept = F.coalesce(F.col("component") == F.col("id"), F.lit(False))
     named = F.when(F.col("component") < NAMELESS, F.col("component")) if rows_apart else F.col("component")
@@ -250,8 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _buckets(keyed: DataFrame, only: str = "true") -> DataFrame:
     """(key, id, core, first, n) of keys with several members, of which some satisfy the aggregate condition `only`."""
     keys = cut(keyed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.expr(only).alias("wanted")).where("n > 1 and wanted").drop("wanted"))
-    total = keys.agg(F.sum("n")).first()[0] or 0
-    return cut(join_counted(keyed, keys, ["key"], "n", total).select("key", "id", "core", "first", "n"))
+    return cut(join_counted(keyed, keys, ["key"], "n", ["id"]).select("key", "id", "core", "first", "n"))
 
 
 def _blocks(n: str, size: str) -> Column:
@@ -268,11 +266,11 @@ def _groups(members: DataFrame, texts: DataFrame) -> DataFrame:
     counts = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).join(work, "cluster")
     blocks = _blocks("n", "bytes")
     plans = cut(counts.select("cluster", "n", blocks.alias("blocks"), ((blocks > 1) & (F.col("work") < F.col("n").cast("double") * F.col("n"))).alias("apart")))
-    planned = join_counted(sized, plans, ["cluster"], "n", sized.count())
+    planned = join_counted(sized, plans, ["cluster"], "n", ["id"])
     whole = planned.where("not apart").select(F.col("cluster").alias("g"), "id", F.lit(True).alias("core"), F.col("cluster").alias("head"), "blocks")
     apart = cut(members.select("key", "id", "core").join(planned.where("apart").select("id", "bytes"), "id"))
     each = cut(apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"), F.min("id").alias("head")))
-    bucket = join_counted(apart, each, ["key"], "n", apart.count()).select(F.col("key").alias("g"), "id", "core", "head", _blocks("n", "size").alias("blocks"))
+    bucket = join_counted(apart, each, ["key"], "n", ["id"]).select(F.col("key").alias("g"), "id", "core", "head", _blocks("n", "size").alias("blocks"))
     return cut(whole.union(bucket))
 
 
@@ -289,7 +287,7 @@ def _alone(groups: DataFrame) -> DataFrame:
 def _crossed(groups: DataFrame) -> DataFrame:
     """(g, i, j, id): lanes of core members, each with every block of the group."""
     counts = cut(groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_if("core").alias("cores")))
-    rows = join_counted(groups, counts, ["g"], "n", groups.count()).withColumn("of", F.greatest(F.lit(1), F.ceil(F.col("cores") * F.col("blocks") / F.col("n"))).cast("int"))
+    rows = join_counted(groups, counts, ["g"], "n", ["id"]).withColumn("of", F.greatest(F.lit(1), F.ceil(F.col("cores") * F.col("blocks") / F.col("n"))).cast("int"))
     lane = F.pmod(F.xxhash64("id", F.lit(1)), F.col("of")).cast("int")
     pairs = F.concat(
         F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: F.struct(k.alias("i"), _block().alias("j"))),
@@ -299,14 +297,14 @@ def _crossed(groups: DataFrame) -> DataFrame:
 
 
 def _open(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, outside): members of groups of several blocks that have members outside their largest component, and who that is."""
+    """(g, id, core, blocks, rest): members of groups of several blocks that have members outside their largest component (core), `rest` of them."""
     large = groups.where("blocks > 1")
     settled = connected_components(links.join(large.select(F.col("id").alias("a")).distinct(), "a", "left_semi"))
-    state = cut(large.join(settled.withColumnRenamed("node", "id"), "id", "left").select("g", "id", F.coalesce("component", "id").alias("component")))
+    state = cut(large.join(settled.withColumnRenamed("node", "id"), "id", "left").select("g", "id", "blocks", F.coalesce("component", "id").alias("component")))
     counts = state.groupBy("g", "component").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("g").agg(F.max(F.struct("n", F.col("component").alias("main"))).alias("top"), F.sum("n").alias("n")).where("n > top.n")
-    found = join_counted(state, cut(main.select("g", "n", "top.main")), ["g"], "n", state.count())
-    return found.groupBy("id").agg(F.bool_or(F.col("component") != F.col("main")).alias("outside"))
+    found = join_counted(state, cut(main.select("g", "n", "top.main", (F.col("n") - F.col("top.n")).alias("rest"))), ["g"], "n", ["id"])
+    return found.select("g", "id", (F.col("component") != F.col("main")).alias("core"), "blocks", "rest")
 
 
 def _texts_sets(part: pa.RecordBatch) -> list[np.ndarray]:
@@ -370,8 +368,14 @@ def _candidate_links(classes: DataFrame, rows: DataFrame) -> DataFrame:
     if groups.where("blocks > 1").isEmpty():
         return links
     left = cut(_open(groups, links))
-    if left.isEmpty():
-        return links
-    keyed = cut(rare_shingles(texts.join(left, "id"), sketch_frequencies(texts)))
-    groups = _groups(_buckets(keyed, "bool_or(core) and bool_or(outside)"), texts)
-    return links.union(cut(_confirm(_crossed(groups), texts)))
+    # Few documents outside can meet all blocks; many are dealt anew, which sends rows in proportion to them.
+    few, many = F.col("rest") <= 2 * BLOCK, F.col("rest") > 2 * BLOCK
+    sizes = left.agg(F.count_if(few).alias("few"), F.count_if(many).alias("many")).first()
+    if sizes["few"]:
+        links = links.union(cut(_confirm(_crossed(left.where(few)), texts)))
+    if sizes["many"]:
+        outside = left.where(many).groupBy("id").agg(F.bool_or("core").alias("outside"))
+        keyed = cut(rare_shingles(texts.join(outside, "id"), sketch_frequencies(texts)))
+        anew = _groups(_buckets(keyed, "bool_or(core) and bool_or(outside)"), texts)
+        links = links.union(cut(_confirm(_crossed(anew), texts)))
+    return links
