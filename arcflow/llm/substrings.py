@@ -24,7 +24,7 @@ an empty table gives an empty table; columns other than the named and carried ar
 
 Scale: every shuffle is linear in the input (see `exchange`): the sketches of chosen places,
 the estimated windows, and the packed texts twice. Hot windows are one entry for each part;
-copies of one text meet their first by a broadcast if they are many (see `join_counted`).
+copies of one text are salted where they meet their first (see `join_counted`).
 The sketch grows with the text up to 2^`MOST_BITS` cells; from then on more windows are
 estimated repeated than are, and are grouped exactly all the same.
 """
@@ -157,11 +157,11 @@ def _answers(sketches: DataFrame, parts: Parts) -> DataFrame:
     return parts.deal(sketches).mapInArrow(run_parts(part), ROWS)
 
 
-def _copies(rows: DataFrame, parts: Parts, total: int) -> DataFrame:
+def _copies(rows: DataFrame, parts: Parts) -> DataFrame:
     """To each part its documents whose whole text occurs in one with a smaller id."""
     texts = rows.where("text <> ''").select("id", "hash", "part", F.md5("text").alias("digest"))
     first = cut(texts.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    later = join_counted(texts, first, ["digest"], "n", total).where("id > first").select("id", "hash", "part")
+    later = join_counted(texts, first, ["digest"], "n", ["id"]).where("id > first").select("id", "hash", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple[int, int, bytes]]:
@@ -298,12 +298,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     inner = min(inner, window)
     parts = Parts(docs.sparkSession)
     rows = numbered(docs, parts, id_col, text_col, F.col(text_col).isNull().alias("absent"), F.struct(*(carry or (id_col,))).alias("row"))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    bits = min(MOST_BITS, max(10, int((size["bytes"] or 0) * CELLS_PER_BYTE).bit_length()))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    bits = min(MOST_BITS, max(10, int(size * CELLS_PER_BYTE).bit_length()))
     if parts.count >= (1 << 20) - 1:
         raise ValueError("more parts than the packed questions can name")
     known = (bits, window, inner, depth)
-    told = cut(_answers(_sketches(rows, parts, bits, window, inner, depth), parts).unionByName(_copies(rows, parts, size["n"])))
+    told = cut(_answers(_sketches(rows, parts, bits, window, inner, depth), parts).unionByName(_copies(rows, parts)))
     firsts = cut(_firsts(parts.deal(told.unionByName(bundles(rows, parts, 3))), parts, known))
     shape = StructType([*([rows.schema["row"], StructField("text", StringType())] if carry else [StructField("id", LongType()), StructField("text_hash", LongType())]), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
 
