@@ -1,32 +1,34 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped into lines, one for each block. Lines in menus, headers, footers, asides,
-forms, adverts, notices, reader comments and hidden parts are dropped. The other lines fall
-into regions: each outermost element that the page marks as its article (article, main) is
-one, and all lines outside of them are one. In each region the lengths of text outside links
-are summed over sliding windows of `WINDOW` lines, and the longest sums are compared:
-
-* a marked element is kept, whole, if its longest sum is at least 1 / `MARK` of the page's,
-  so that the card of another story isn't taken for the story;
-* the lines outside are kept if their longest sum exceeds that of every marked element. They
-  end at dives, where the sum falls to zero; what lies between two dives is kept if it has a
-  surge, a sum that reaches the threshold, with the lines before it (a short heading). The
-  threshold is `SURGE` characters, or 1 / `MARK` of the page's longest sum where that is less.
+Markup is stripped into lines, one for each block; headers, footers, asides, forms, adverts,
+notices, reader comments and hidden parts go with it. Each line has a length: its characters
+outside links and menus. A window sums the lengths of `WINDOW` lines. One rule holds for
+every page: lines begin to count at a line with a length; they end at a dive, where the
+window's sum falls to zero; what lies between is kept if there is a surge, a sum that reaches
+the threshold: `SURGE` characters, or 1 / `MARK` of the page's greatest sum where that is less.
+So menus and lists of links go because their sums are zero, and stray lines between them
+because they don't surge; a short heading or a line that is only a link stays in its story.
+
+What a page marks as its article (article, main) weighs in the lengths. A marked element
+whose greatest sum is under 1 / `MARK` of the page's is the card of another story and goes.
+Lines outside all marked elements have no length where their greatest sum doesn't exceed that
+of every marked element.
 
 Character references are decoded, white space inside a block is one space, blocks are
 trimmed and joined by one space.
 
 Defined cases: a null or empty page, or one without such text, gives an empty text;
 unclosed elements end with their parent; an unclosed script, style or comment reaches to
-the end; nothing is cut off at any length; repeated rows each give a row; other columns
-don't matter. One map, no shuffle.
+the end; a `<` that no `>` follows is text; where a tag's quotes don't close, the next `>`
+ends it and all later tags; nothing is cut off at any length; repeated rows each give a
+row; other columns don't matter. One map, no shuffle; time is linear in the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +40,11 @@ SURGE = 60
 MARK = 4
 
 # Elements of HTML by their role.
-RAW = "script|style|textarea|title|noscript|template|iframe|xmp|noembed|noframes"
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head nav header footer aside form menu dialog button select option fieldset label object svg math canvas audio video datalist".split())
+DROPPED = frozenset("head header footer aside form dialog button select option fieldset label object svg math canvas audio video datalist".split())
 MAIN = frozenset("article main".split())
+MENU = frozenset("nav menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp".split())
 #: Elements whose end tag may be left out, what ends them, and what encloses them.
 ENDED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
@@ -55,8 +58,11 @@ NOISE = frozenset(
 #: Words that mark a frame around the whole page rather than the part itself.
 FRAME = frozenset("has with no without wrapper wrap layout page container main content body article".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>)|<[!?/][^>]*>", re.S | re.I)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?=[\s=/>])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The part of a tag up to its end or to a quote.
+UNQUOTED = re.compile(r"[^>\"']*")
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?=[\s=/>])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -80,15 +86,78 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
     return dropped, main
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, lower-case name or empty, whether it is an end tag, attributes) of each piece of markup, raw elements and comments as wholes."""
+    at, last, quoted = 0, page.rfind(">"), True
+
+    def tag_end(k: int) -> int:
+        """Where the tag whose name ends at k ends."""
+        nonlocal quoted
+        first = page.find(">", k) + 1
+        while quoted:
+            k = UNQUOTED.match(page, k).end()
+            if k < len(page) and page[k] == ">":
+                return k + 1
+            k = page.find(page[k], k + 1) + 1 if k < len(page) else 0
+            quoted = k > 0
+        return first
+
+    while 0 <= (begin := page.find("<", at)):
+        mark = page[begin + 1 : begin + 2]
+        if page.startswith("<!--", begin):
+            at = page.find("-->", begin + 4) + 3
+            at = at if at > 2 else len(page)
+            yield begin, at, "", False, ""
+            continue
+        if begin > last:
+            return
+        end_tag = mark == "/"
+        name = NAME.match(page, begin + 1 + end_tag)
+        if name:
+            at = tag_end(name.end())
+            tag, more = name[0].lower(), page[name.end() : at]
+            if tag in RAW and not end_tag:
+                close = RAW_ENDS[tag].search(page, at)
+                at, tag = close.end() if close else len(page), ""
+            yield begin, at, tag, end_tag, more
+        elif mark in ("!", "?", "/"):
+            at = page.find(">", begin) + 1
+            yield begin, at, "", False, ""
+        else:
+            at = begin + 1
+
+
+class _Stack:
+    """Open elements, each (name, dropped, in a menu, number of the outermost marked element), and where those of a name are."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, bool, bool, int]] = []
+        self.where: dict[str, list[int]] = {}
+
+    def top(self) -> tuple[str, bool, bool, int]:
+        return self.open[-1] if self.open else ("", False, False, 0)
+
+    def push(self, row: tuple[str, bool, bool, int]) -> None:
+        self.where.setdefault(row[0], []).append(len(self.open))
+        self.open.append(row)
+
+    def cut(self, k: int) -> None:
+        while len(self.open) > k:
+            self.where[self.open.pop()[0]].pop()
+
+    def last(self, names: Iterable[str]) -> int:
+        """Place of the innermost open element of these names, or -1."""
+        return max((self.where[n][-1] for n in names if self.where.get(n)), default=-1)
+
+
 def lines(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters outside links, dropped, number of the outermost marked element or 0) of each line in page order.
+    """(text, characters outside links and menus, dropped, number of the outermost marked element or 0) of each line in page order.
 
-    On the stack are open blocks and, above a dropped span, it and the spans in it; text there is left out of its line.
+    A dropped span's text is left out of its line; it ends with its end tag or its block.
     """
     out: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool, int]] = []
-    parts: list[str] = []
-    free = links = at = marked = 0
+    stack, parts = _Stack(), []
+    free = links = at = marked = spans = 0
 
     def flush() -> None:
         nonlocal free
@@ -98,97 +167,99 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
             text = html.unescape(text)
         text = " ".join(text.split())
         if text:
-            top = next((x for x in reversed(stack) if x[0] != "span"), ("", False, 0))
-            out.append((text, min(free, len(text)), top[1], top[2]))
+            _, dropped, menu, region = stack.top()
+            out.append((text, 0 if menu else min(free, len(text)), dropped, region))
         free = 0
 
     def take(text: str) -> None:
         nonlocal free
-        if text and not (stack and stack[-1][0] == "span"):
+        if text and not spans:
             parts.append(text)
             if not links:
                 free += len(text.strip())
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            take(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
+    for begin, end, tag, end_tag, more in _tags(page):
+        if begin > at:
+            take(page[at:begin])
+        at = end
         if not tag:
             continue
         if tag == "a":
-            links = 0 if m[2] else 1
+            links = 0 if end_tag else 1
         if tag == "span":
-            within = bool(stack) and stack[-1][0] == "span"
-            if m[2]:
-                del stack[len(stack) - within :]
-            elif within or _marks(tag, m[4])[0]:
-                stack.append((tag, True, 0))
+            if end_tag:
+                spans = max(0, spans - 1)
+            elif spans or _marks(tag, more)[0]:
+                spans += 1
         if tag in INLINE:
             continue
-        if m[2]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is not None:
+        if end_tag:
+            k = stack.last((tag,))
+            if k >= 0 or tag == "p":
                 flush()
+                spans = 0
+            if k >= 0:
                 links = 0
-                del stack[k:]
-            elif tag == "p":
-                flush()
+                stack.cut(k)
             continue
         flush()
         if tag in VOID:
             continue
         if tag in ENDED:
             ended, within = ENDED[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in within:
-                    break
-                if stack[k][0] in ended:
-                    del stack[k:]
-                    break
+            k = stack.last(ended)
+            if k > stack.last(within):
+                stack.cut(k)
         else:
-            while stack and (stack[-1][0] in ("span", "p") or (tag in HEADINGS and stack[-1][0] in HEADINGS)):
-                stack.pop()
-        links = 0
-        dropped, main = _marks(tag, m[4])
-        up = stack[-1] if stack else ("", False, 0)
+            while stack.open and (stack.top()[0] == "p" or (tag in HEADINGS and stack.top()[0] in HEADINGS)):
+                stack.cut(len(stack.open) - 1)
+        links = spans = 0
+        dropped, main = _marks(tag, more)
+        _, up_dropped, up_menu, region = stack.top()
         marked += main
-        if not m[4].endswith("/>") or tag in MAIN:
-            stack.append((tag, up[1] or dropped, up[2] or marked * main))
+        if not more.endswith("/>") or tag in MAIN:
+            stack.push((tag, up_dropped or dropped, up_menu or tag in MENU, region or marked * main))
     take(page[at:])
     flush()
     return out
 
 
-def _sums(lengths: list[int]) -> np.ndarray:
+def sums(lengths: list[int]) -> np.ndarray:
     """For each line the length of the window that it begins."""
     return np.convolve(lengths, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
 
 
+def between_surge_and_dive(lengths: list[int]) -> np.ndarray:
+    """Of each line, whether it is in a run of lines with a surge; a run begins at a line with a length and ends before a dive."""
+    if not len(lengths):
+        return np.zeros(0, bool)
+    blocks = sums(lengths)
+    threshold = min(SURGE, blocks.max() / MARK)
+    kept, begin, surge = np.zeros(len(lengths), bool), -1, False
+    for k, total in enumerate([*blocks.tolist(), 0]):
+        if total == 0:
+            if surge:
+                kept[begin:k] = True
+            begin, surge = -1, False
+        else:
+            if begin < 0 and lengths[k]:
+                begin = k
+            surge |= begin >= 0 and total >= threshold
+    return kept
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page."""
-    found = lines(page or "")
+    found = [x for x in lines(page or "") if not x[2]]
     regions: dict[int, list[int]] = {}
-    for k, (_, _, dropped, region) in enumerate(found):
-        if not dropped:
-            regions.setdefault(region, []).append(k)
-    sums = {r: _sums([found[k][1] for k in at]) for r, at in regions.items()}
-    most = max((int(s.max()) for s in sums.values()), default=0)
-    most_marked = max((int(s.max()) for r, s in sums.items() if r), default=0)
-    kept: list[int] = []
-    for r, at in regions.items():
-        if r:
-            kept += at if sums[r].max() * MARK >= most else []
-        elif most > most_marked:
-            run, surge, threshold = [], False, min(SURGE, most / MARK)
-            for k, total in zip([*at, -1], [*sums[r].tolist(), 0], strict=True):
-                if total == 0:
-                    kept += run if surge else []
-                    run, surge = [], False
-                elif run or found[k][1]:
-                    run.append(k)
-                    surge |= total >= threshold
-    return " ".join(found[k][0] for k in sorted(kept))
+    for _, free, _, region in found:
+        regions.setdefault(region, []).append(free)
+    greatest = {r: int(sums(own).max()) for r, own in regions.items()}
+    most = max(greatest.values(), default=0)
+    outside = greatest.get(0, 0) > max((n for r, n in greatest.items() if r), default=0)
+    found = [x for x in found if not x[3] or greatest[x[3]] * MARK >= most]
+    kept = between_surge_and_dive([free if region or outside else 0 for _, free, _, region in found])
+    return " ".join(x[0] for x, k in zip(found, kept, strict=True) if k)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", id_cols: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
