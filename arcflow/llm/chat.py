@@ -10,6 +10,8 @@ Defined cases: a null role or text counts as empty; null conversations have no t
 one conversation is a prefix of the other its completion is empty; equal conversations
 have two empty completions; turns are in order of number, role and text (null numbers
 first), and repeated rows count once; other columns are ignored; empty tables give none.
+A text or role is written as it is, whatever marks it holds: where turns begin is told by
+the turns and masks, not by searching the rendered text, and masks are as long as the text.
 
 Scale: one aggregation by conversation id, whose rows are one example and so stay
 together; all else is a projection.

@@ -6,7 +6,7 @@ a bucket, the quartile of its count among the text's bucket counts, and before t
 byte for the length (its logarithm in steps of 1.05) and the two quartile ratios.
 
 Two digests differ by the sum of their buckets' quartile differences plus a weighted
-length difference, and the score is one less that difference over the largest that
+length difference (the ratios are for readers of the digest and aren't compared), and the score is one less that difference over the largest that
 digests of these buckets could have: 1 for equal digests, 0 for texts with no bucket in
 common. Equal texts have equal fingerprints.
 

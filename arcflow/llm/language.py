@@ -1,9 +1,9 @@
 """Language identification by script ranges and Viterbi labelling of words.
 
 Words are runs of letters of one script. The script narrows the candidates to the
-languages that use it in the training rows. A word's score for a language is the mean
-log probability of its character n-grams (two to four, with the word's edges), less
-their mean over the languages. Viterbi finds the labelling of a text's words with the
+languages that use it in the training rows. A word's score for a language is the sum of
+the log probabilities of its character n-grams (two to four, with the word's edges), less
+their mean over the languages, over the number of lengths. Viterbi finds the labelling of a text's words with the
 best total, where each change of language costs `SWITCH`; runs of equal labels are the
 spans. A text's language is that with most letters in its spans, and the score its share.
 
@@ -13,8 +13,9 @@ Learned from a bounded sample: for each language the rows whose ids hash lowest,
 Defined cases: a null text, or one without a letter, is `und` with score 0 and no spans,
 and so is every text if there is nothing to learn from; rows with null text, language or
 id aren't learned from; words of scripts that no language uses take their neighbours'
-label; ties go to the language first in order; an empty table gives an empty table;
-repeated rows each give a row; other columns don't matter.
+label; ties go to the language first in order; rows of one id are learned from, or left
+out, together; an empty table gives an empty table; repeated rows each give a row; texts
+of any length are read whole; other columns don't matter.
 
 Scale: one map over the documents without a shuffle. The model has
 languages * ORDERS * 2^15 floats, at most `LANGUAGES` languages.

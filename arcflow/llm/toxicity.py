@@ -12,7 +12,8 @@ else those whose id hashes lowest, in that number on average. All else covers al
 
 Defined cases: a null or wordless text has the bias's score; labels other than 0 and 1,
 null ids and labels without a document are not learned from; of repeated labels of one id
-the highest counts; without rows of both classes every score is the mean label (0.0 if
+the highest counts; of terms equally unlike between the classes the smaller bucket is
+taken; texts of any length are read whole; without rows of both classes every score is the mean label (0.0 if
 there is none); an empty table gives an empty table; other columns don't matter.
 
 Scale: one map over the documents, whose other columns stay where they are; the model
@@ -71,6 +72,15 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
 
 
+def gradient(x: np.ndarray, y: np.ndarray, bias: float, weights: np.ndarray, factors: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slope of the mean log loss plus penalty * (|weights|^2 / 20 + |factors|^2 / 2): by each row's raw score, by weights and by factors."""
+    sums = x @ factors
+    raw = bias + x @ weights + 0.5 * ((sums**2).sum(axis=1) - x @ (factors**2).sum(axis=1))
+    error = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - y) / len(y)
+    push = x.T @ error
+    return error, push + penalty * weights / 10, x.T @ (error[:, None] * sums) - push[:, None] * factors + penalty * factors
+
+
 def telling_terms(ones: np.ndarray, every: np.ndarray, n: int, toxic: int, n_terms: int) -> np.ndarray:
     """Buckets most unlike between the classes, by counts in toxic rows and in all; the smaller bucket first among equals."""
     share = every / n
@@ -101,11 +111,7 @@ def fit(found: np.ndarray, offsets: np.ndarray, labels: np.ndarray, n_terms: int
     bias, weights, factors = np.float32(np.log(toxic.mean() / (1 - toxic.mean()))), np.zeros(len(chosen), np.float32), rng.normal(0, 0.05, (len(chosen), n_factors)).astype(np.float32)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (weights, factors)]
     for step in range(1, steps + 1):
-        sums = x @ factors
-        raw = bias + x @ weights + 0.5 * ((sums**2).sum(axis=1) - x @ (factors**2).sum(axis=1))
-        error = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - y) / n
-        push = x.T @ error
-        slopes = (push + penalty * weights / 10, x.T @ (error[:, None] * sums) - push[:, None] * factors + penalty * factors)
+        error, *slopes = gradient(x, y, bias, weights, factors, penalty)
         rate = 0.05 if step <= steps * 0.7 else 0.01
         for value, slope, (m, v) in zip((weights, factors), slopes, moments, strict=True):
             m += 0.1 * (slope - m)
