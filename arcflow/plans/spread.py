@@ -28,6 +28,22 @@ def salts_of(hot: dict, limit: int, key: str) -> Column:
     return out
 
 
+def hot_keys(single: DataFrame, key: str, count: str, total: int, most: int) -> tuple[dict, int]:
+    """Hot keys and their counts, and the limit above which a key is hot; one job more only if there are any."""
+    limit, hot = hot_limit(single, total), {}
+    if most > limit:
+        for r in single.where(F.col(count) > limit).select(key, count).collect():
+            hot[r[0]] = max(r[1], hot.get(r[0], 0))
+    return hot, limit
+
+
+def join_salted(rows: DataFrame, single: DataFrame, keys: list[str], salts: Column, spread: list[str]) -> DataFrame:
+    """Inner join in which a key's rows are dealt by `spread`, columns of `rows`, over as many salts as `salts` says of the key."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), salts).cast("int"))
+    repeated = single.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+
+
 def join_counted(rows: DataFrame, single: DataFrame, keys: list[str], count: str, spread: list[str]) -> DataFrame:
     """Inner join of `rows` with `single`, in which each key is once and `count` is the number of its `rows`.
 
@@ -35,13 +51,5 @@ def join_counted(rows: DataFrame, single: DataFrame, keys: list[str], count: str
     fewer than 2 * partitions go to the driver. `single` is read several times, so it should be written or cheap.
     """
     sizes = single.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
-    limit = hot_limit(rows, sizes["total"] or 0)
-    if (sizes["most"] or 0) <= limit:
-        return rows.join(single, keys)
-    hot: dict = {}
-    for r in single.where(F.col(count) > limit).select(keys[0], count).collect():
-        hot[r[0]] = max(r[1], hot.get(r[0], 0))
-    salts = salts_of(hot, limit, keys[0])
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), salts).cast("int"))
-    repeated = single.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+    hot, limit = hot_keys(single, keys[0], count, sizes["total"] or 0, sizes["most"] or 0)
+    return join_salted(rows, single, keys, salts_of(hot, limit, keys[0]), spread) if hot else rows.join(single, keys)
