@@ -6,20 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcflow.plans.cut import cut
-from arcflow.plans.spread import join_counted
+from arcflow.plans.spread import hot_keys, join_salted, salts_of
 
 MAX_ROUNDS = 60
 #: Rows in each file of a round, at least; a round on few edges has few files.
 FILE_ROWS = 10_000
 
 
-def _least(edges: DataFrame, n: int) -> DataFrame:
-    """(a, m, n): each node's least neighbour and number of neighbours."""
-    return cut(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).coalesce(1 + n // FILE_ROWS))
-
-
-def _distinct(edges: DataFrame, n: int) -> DataFrame:
-    return cut(edges.distinct().coalesce(1 + n // FILE_ROWS))
+def _cut(rows: DataFrame, n: int) -> DataFrame:
+    return cut(rows.coalesce(1 + n // FILE_ROWS))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -28,21 +23,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Loops, repeated edges and edges with a null end don't matter. Edges are kept as (greater, smaller).
     Large-star: every greater neighbour of a node moves to the smallest of its neighbourhood. Small-star:
     a node's smaller neighbours and the node itself move to the smallest of them. Rounds end when every
-    node with a smaller neighbour has no other. Each step is cut, so that a lost executor costs no more.
-    Minima are partial sums; the rows of hubs are salted where they meet them (see `join_counted`).
+    node with a smaller neighbour has no other. Each round is cut, so that a lost executor costs no more.
+    Minima are partial sums; the rows of hubs are salted where they meet them (see `join_salted`). A node's
+    smaller neighbours after large-star are no more than its neighbours before, so the same salts serve both.
     """
     current = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    n = current.count()
+    n = 0
     for _ in range(MAX_ROUNDS):
         both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = _least(both, 2 * n)
-        if least.where("m < a and n > 1").isEmpty():
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        least = _cut(least, n) if n else cut(least)
+        look = least.agg(F.count_if(F.expr("m < a and n > 1")).alias("open"), F.sum("n").alias("total"), F.max("n").alias("most")).first()
+        if not look["open"]:
             break
-        large = join_counted(both, least.select("a", F.least("a", "m").alias("m"), "n"), ["a"], "n", ["b"])
-        current = _distinct(large.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), n)
-        least = _least(current, n)
-        moved = join_counted(current, least, ["a"], "n", ["b"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = _distinct(moved.union(least.select("a", F.col("m").alias("b"))), n)
+        n = look["total"]
+        hot, limit = hot_keys(least, "a", "n", n, look["most"])
+        salts = salts_of(hot, limit, "a")
+        meet = lambda rows, single: join_salted(rows, single, ["a"], salts, ["b"]) if hot else rows.join(single, "a")  # noqa: B023, E731
+        large = meet(both, least.select("a", F.least("a", "m").alias("m"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = meet(large, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        current = _cut(moved.union(least.select("a", F.col("m").alias("b"))).distinct(), n)
     else:
         raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

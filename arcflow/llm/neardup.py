@@ -16,7 +16,7 @@ with nothing. Two documents are linked if 100 * intersection >= 75 * union.
    returns no more links than it has documents. Groups of several blocks compare each
    block in itself and with the group's first document.
 4. Documents outside their group's largest component after that meet all its blocks, if they
-   are at most 2 * `BLOCK`; a group with more is dealt anew by rare shingles. With shingles in order of a sketched frequency, of two linked sets the
+   are at most `FEW` blocks; a group with more is dealt anew by rare shingles. With shingles in order of a sketched frequency, of two linked sets the
    smaller has a common shingle among its first n - ceil(6 n / 7) + 1, and the larger has it
    among its first n - ceil(3 n / 4) + 1: what a template of lower similarity shares isn't
    there, so its documents share no bucket. Members that a bucket has by the shorter
@@ -55,6 +55,8 @@ BANDS, ROWS = 40, 4
 AGREE = 0.56
 BLOCK = 128
 BLOCK_BYTES = 8 << 20
+#: Blocks of documents outside a group's largest component that may meet all its blocks: as many copies of each document, and twice that at most.
+FEW = 4
 #: Counters of the sketch that orders shingles by frequency.
 CELLS = 1 << 18
 #: Least place of documents without an id of their own.
@@ -267,6 +269,8 @@ def _groups(members: DataFrame, texts: DataFrame) -> DataFrame:
     blocks = _blocks("n", "bytes")
     plans = cut(counts.select("cluster", "n", blocks.alias("blocks"), ((blocks > 1) & (F.col("work") < F.col("n").cast("double") * F.col("n"))).alias("apart")))
     planned = join_counted(sized, plans, ["cluster"], "n", ["id"])
+    if plans.where("apart").isEmpty():
+        return cut(planned.select(F.col("cluster").alias("g"), "id", F.lit(True).alias("core"), F.col("cluster").alias("head"), "blocks"))
     whole = planned.where("not apart").select(F.col("cluster").alias("g"), "id", F.lit(True).alias("core"), F.col("cluster").alias("head"), "blocks")
     apart = cut(members.select("key", "id", "core").join(planned.where("apart").select("id", "bytes"), "id"))
     each = cut(apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"), F.min("id").alias("head")))
@@ -369,7 +373,7 @@ def _candidate_links(classes: DataFrame, rows: DataFrame) -> DataFrame:
         return links
     left = cut(_open(groups, links))
     # Few documents outside can meet all blocks; many are dealt anew, which sends rows in proportion to them.
-    few, many = F.col("rest") <= 2 * BLOCK, F.col("rest") > 2 * BLOCK
+    few, many = F.col("rest") <= FEW * BLOCK, F.col("rest") > FEW * BLOCK
     sizes = left.agg(F.count_if(few).alias("few"), F.count_if(many).alias("many")).first()
     if sizes["few"]:
         links = links.union(cut(_confirm(_crossed(left.where(few)), texts)))
