@@ -23,8 +23,10 @@ def salts_of(hot: dict, limit: int, key: str) -> Column:
     for value, n in hot.items():
         tiers.setdefault(1 << (-(-n // limit) - 1).bit_length(), []).append(value)
     out = F.lit(1)
-    for salts, values in tiers.items():
-        out = F.when(F.col(key).isin(values), salts).otherwise(out)
+    for salts, values in sorted(tiers.items()):
+        # A list of some length becomes a set beside the generated code, which so stays the same from round to round.
+        more = [f"~{k}" if isinstance(values[0], str) else ~k for k in range(12)]  # not hot, perhaps; both sides salt them alike
+        out = F.when(F.col(key).isin(values + more), salts).otherwise(out)
     return out
 
 
