@@ -58,7 +58,7 @@ BLOCK_BYTES = 8 << 20
 #: Blocks of documents outside a group's largest component that may meet all its blocks: as many copies of each document, and twice that at most.
 FEW = 4
 #: Counters of the sketch that orders shingles by frequency.
-CELLS = 1 << 18
+CELLS = 1 << 16
 #: Least place of documents without an id of their own.
 NAMELESS = 1 << 62
 
