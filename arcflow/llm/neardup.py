@@ -15,8 +15,9 @@ with nothing. Two documents are linked if 100 * intersection >= 75 * union.
    that is 5.5 standard deviations low); the rest are confirmed on the full sets. A block
    returns no more links than it has documents. Groups of several blocks compare each
    block in itself and with the group's first document.
-4. Documents outside their group's largest component after that meet all its blocks, if they
-   are at most `FEW` blocks; a group with more is dealt anew by rare shingles. With shingles in order of a sketched frequency, of two linked sets the
+4. Documents outside their group's largest component after that meet all its blocks, if all
+   that sends at most `SPREAD` rows for each candidate or they are at most `FEW` blocks; a
+   group with more is dealt anew by rare shingles. With shingles in order of a sketched frequency, of two linked sets the
    smaller has a common shingle among its first n - ceil(6 n / 7) + 1, and the larger has it
    among its first n - ceil(3 n / 4) + 1: what a template of lower similarity shares isn't
    there, so its documents share no bucket. Members that a bucket has by the shorter
@@ -57,6 +58,8 @@ BLOCK = 128
 BLOCK_BYTES = 8 << 20
 #: Blocks of documents outside a group's largest component that may meet all its blocks: as many copies of each document, and twice that at most.
 FEW = 4
+#: Rows for each candidate that such meetings may send in all, whatever the groups.
+SPREAD = 4
 #: Counters of the sketch that orders shingles by frequency.
 CELLS = 1 << 16
 #: Least place of documents without an id of their own.
@@ -372,13 +375,15 @@ def _candidate_links(classes: DataFrame, rows: DataFrame) -> DataFrame:
     if groups.where("blocks > 1").isEmpty():
         return links
     left = cut(_open(groups, links))
-    # Few documents outside can meet all blocks; many are dealt anew, which sends rows in proportion to them.
-    few, many = F.col("rest") <= FEW * BLOCK, F.col("rest") > FEW * BLOCK
-    sizes = left.agg(F.count_if(few).alias("few"), F.count_if(many).alias("many")).first()
+    # Documents outside meet all blocks while that sends no more than some rows for each candidate; beyond, groups with many of them are dealt anew.
+    copies = F.ceil(F.col("rest") / BLOCK) + F.when(F.col("core"), F.col("blocks")).otherwise(0)
+    spare = left.agg(F.sum(copies)).first()[0] <= SPREAD * groups.count()
+    few = F.lit(True) if spare else F.col("rest") <= FEW * BLOCK
+    sizes = left.agg(F.count_if(few).alias("few"), F.count_if(~few).alias("many")).first()
     if sizes["few"]:
         links = links.union(cut(_confirm(_crossed(left.where(few)), texts)))
     if sizes["many"]:
-        outside = left.where(many).groupBy("id").agg(F.bool_or("core").alias("outside"))
+        outside = left.where(~few).groupBy("id").agg(F.bool_or("core").alias("outside"))
         keyed = cut(rare_shingles(texts.join(outside, "id"), sketch_frequencies(texts)))
         anew = _groups(_buckets(keyed, "bool_or(core) and bool_or(outside)"), texts)
         links = links.union(cut(_confirm(_crossed(anew), texts)))
