@@ -9,12 +9,8 @@ from arcflow.plans.cut import cut
 from arcflow.plans.spread import hot_keys, join_salted, salts_of
 
 MAX_ROUNDS = 60
-#: Rows in each file of a round, at least; a round on few edges has few files.
-FILE_ROWS = 10_000
-
-
-def _cut(rows: DataFrame, n: int) -> DataFrame:
-    return cut(rows.coalesce(1 + n // FILE_ROWS))
+#: Rows for each task of a round, at least: a round on few edges has few tasks and files. Salts keep tasks even.
+TASK_ROWS = 10_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -29,10 +25,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     current = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     n = 0
+    few = lambda rows: rows.coalesce(1 + n // TASK_ROWS)
     for _ in range(MAX_ROUNDS):
         both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        least = _cut(least, n) if n else cut(least)
+        least = cut(few(least) if n else least)
         look = least.agg(F.count_if(F.expr("m < a and n > 1")).alias("open"), F.sum("n").alias("total"), F.max("n").alias("most")).first()
         if not look["open"]:
             break
@@ -40,10 +37,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hot, limit = hot_keys(least, "a", "n", n, look["most"])
         salts = salts_of(hot, limit, "a")
         meet = lambda rows, single: join_salted(rows, single, ["a"], salts, ["b"]) if hot else rows.join(single, "a")  # noqa: B023, E731
-        large = meet(both, least.select("a", F.least("a", "m").alias("m"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = few(few(meet(both, least.select("a", F.least("a", "m").alias("m")))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = meet(large, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = _cut(moved.union(least.select("a", F.col("m").alias("b"))).distinct(), n)
+        moved = few(meet(large, least)).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        current = cut(few(moved.union(few(least.select("a", F.col("m").alias("b")))).distinct()))
     else:
         raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
