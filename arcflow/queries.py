@@ -117,8 +117,8 @@ def queries() -> dict[str, Query]:
         "linf_shuffle_part_chain": _over("part_chain", lambda g: _rounded(fixed.rank_linf(g, strategy="shuffle"))),
         "async_broadcast_part_chain": _over("part_chain", lambda g: _rounded(active.rank_async(g, strategy="broadcast"))),
         "async_shuffle_part_chain": _over("part_chain", lambda g: _rounded(active.rank_async(g, strategy="shuffle"))),
-        "mc_lockstep_part_chain": _over("part_chain", lambda g: _rounded(walk.rank_monte_carlo(g, strategy="shuffle"))),
-        "mc_expected_shuffle_cust_supp": _over("cust_supp", lambda g: _rounded(walk.rank_expected(g, strategy="shuffle"))),
+        "mc_lockstep_part_chain": _over("part_chain", lambda g: _rounded(walk.rank_monte_carlo(g, length=30, strategy="shuffle"))),
+        "mc_expected_shuffle_cust_supp": _over("cust_supp", lambda g: _rounded(walk.rank_expected(g, length=20, strategy="shuffle"))),
         "coo_roundtrip": _coo_roundtrip,
         "text_roundtrip": _text_roundtrip,
         "parquet_roundtrip": _parquet_roundtrip,
@@ -214,8 +214,8 @@ def oracle_sql() -> dict[str, str]:
         "linf_shuffle_part_chain": _linf_sql("part_chain"),
         "async_broadcast_part_chain": _async_sql("part_chain"),
         "async_shuffle_part_chain": _async_sql("part_chain"),
-        "mc_lockstep_part_chain": _walk_sql("part_chain"),
-        "mc_expected_shuffle_cust_supp": _expected_sql("cust_supp"),
+        "mc_lockstep_part_chain": _walk_sql("part_chain", length=30),
+        "mc_expected_shuffle_cust_supp": _expected_sql("cust_supp", 20),
         "coo_roundtrip": _prelude("part_chain") + " select src, dst from edges",
         "text_roundtrip": _prelude("part_chain") + ", dense as (select id as raw, row_number() over (order by id) - 1 as id from nodes) select a.id::bigint as src, b.id::bigint as dst from edges join dense a on a.raw = src join dense b on b.raw = dst",
         "parquet_roundtrip": _prelude("part_chain") + " select src, dst from edges",

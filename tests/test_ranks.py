@@ -39,6 +39,35 @@ def test_small_graphs(spark, name):
     g.release()
 
 
+#: Ten calls of active sets, each from the last one's values: expected values and rounds in all.
+TEN = {
+    "cycle": ([0.998136] * 3, 18 + 9),
+    "chain": ([0.15, 0.2775, 0.385875], 4 + 9),
+    "star": ([0.5325, 0.15, 0.15, 0.15], 3 + 9),
+    "parallel": ([1.45918, 0.976869, 0.563434], 37 + 9),
+    "loop": ([1.295545, 0.700406], 18 + 2 + 2 + 7),
+    "tail": ([1.848054, 1.848054, 0.15, 0.15], 22 + 9),
+}
+
+
+@pytest.mark.parametrize("name", TEN)
+def test_ten_calls_of_active_sets(spark, name):
+    g = graph(spark, GRAPHS[name][0])
+    settled = active.settle(g, repeats=10)
+    assert values(settled.ranks) == pytest.approx(TEN[name][0], abs=1e-6)
+    assert settled.counts.count() == TEN[name][1]
+    g.release()
+
+
+def test_ten_calls_to_the_greatest_change(spark):
+    """A further call makes one round at least, and only as many as it needs."""
+    g = graph(spark, GRAPHS["cycle"][0])
+    once, more = values(fixed.rank_linf(g))[0], values(fixed.rank_linf(g, repeats=3))[0]
+    assert more == pytest.approx(0.15 + 0.85 * (0.15 + 0.85 * once))
+    assert values(fixed.rank_linf(g, repeats=3, strategy="shuffle"))[0] == pytest.approx(more)
+    g.release()
+
+
 @pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
 def test_strategies_agree(spark, strategy):
     rng = random.Random(3)
