@@ -35,9 +35,10 @@ def test_binary_edges_there_and_back(spark, tmp_path):
 
 
 def far(spark, tmp_path):
-    """The folder behind a scheme that only Spark's readers open."""
-    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.far.link./in", f"file://{tmp_path}")
-    return "viewfs://far/in"
+    """The folder behind a scheme that only Spark's readers open; Hadoop keeps a mount table by its name."""
+    name = f"far{abs(hash(str(tmp_path)))}"
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.{name}.link./in", f"file://{tmp_path}")
+    return f"viewfs://{name}/in"
 
 
 @pytest.mark.parametrize("n", [4099, 5000, 1, 0])
@@ -49,7 +50,7 @@ def test_binary_edges_in_another_store(spark, tmp_path, n):
         assert coo.write_coo(edges_in, path) == n
         assert sorted(map(tuple, coo.read_coo(spark, path, n, 1000).collect())) == want
     assert (tmp_path / "w.bin").read_bytes() == (tmp_path / "l.bin").read_bytes()
-    if n:
+    if n > 1:
         with pytest.raises(Exception, match="outside"):
             coo.read_coo(spark, f"{far(spark, tmp_path)}/w.bin", n, 1).collect()
     with pytest.raises(ValueError, match="bytes"):
