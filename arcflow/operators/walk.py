@@ -13,10 +13,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcflow.functions.rng import uniform
+from arcflow.functions.rng import uniform, uniform_steps
 from arcflow.graph import Graph
 from arcflow.operators.fixed import CUT_EVERY, DAMPING, placed
 from arcflow.operators.layout import running_sums
@@ -31,7 +31,7 @@ BLOCK = 10
 #: Neighbours in one row of the adjacency that walks join with.
 ROW = 1024
 #: Walkers in one batch of a task.
-BATCH = 10_000
+BATCH = 2_000
 
 
 def visits(graph: Graph, length: int = LENGTH, replicas: int = 1, seed: int = SEED, damping: float = DAMPING, strategy: str = "auto") -> DataFrame:
@@ -82,10 +82,6 @@ def _walk_by_joins(graph: Graph, walkers: DataFrame, length: int, seed: int, dam
     return reduce(DataFrame.unionByName, counts)
 
 
-def _draws(seed: int, length: int, slot: str) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda t: uniform(seed, F.col("replica"), F.col("source"), t, slot))
-
-
 def _walk_in_tasks(graph: Graph, walkers: DataFrame, length: int, seed: int, damping: float) -> DataFrame:
     """Each task walks its walkers together over the broadcast adjacency, whose size was checked, and counts their visits."""
     rows = graph.kept_pairs.toArrow()
@@ -120,13 +116,12 @@ def _walk_in_tasks(graph: Graph, walkers: DataFrame, length: int, seed: int, dam
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(k, BATCH)
-                a, b = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, length) for c in ("a", "b"))
-                yield walk(batch.column("source").to_numpy(), a, b)
+                replicas, sources = (whole.slice(k, BATCH).column(c).to_numpy() for c in ("replica", "source"))
+                drawn = uniform_steps(seed, replicas, sources, length, "ab")
+                yield walk(sources, drawn[:, :, 0], drawn[:, :, 1])
 
     parts = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = walkers.repartition(parts, "source").select("source", _draws(seed, length, "a").alias("a"), _draws(seed, length, "b").alias("b"))
-    return drawn.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return walkers.repartition(parts, "source").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def rank_monte_carlo(graph: Graph, length: int = LENGTH, replicas: int = 1, seed: int = SEED, damping: float = DAMPING, strategy: str = "auto") -> DataFrame:
