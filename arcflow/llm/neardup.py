@@ -62,6 +62,8 @@ FEW = 4
 SPREAD = 4
 #: Counters of the sketch that orders shingles by frequency.
 CELLS = 1 << 16
+#: Ids with several texts that may be broadcast, of 9 bytes each.
+FEW_IDS = 1_000_000
 #: Least place of documents without an id of their own.
 NAMELESS = 1 << 62
 
@@ -227,8 +229,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         nameless = F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("own", "text"), 2)
         hashes = docs.select(F.col(id_col).cast("long").alias("own"), F.xxhash64(text_col).alias("h")).where("own is not null")
         several = cut(hashes.groupBy("own").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("own", F.lit(True).alias("several")))
-        given = given.join(several, "own", "left")
-        rows = given.select(F.when(F.col("own").isNull() | F.col("several"), nameless).otherwise(F.col("own")).alias("id"), "own", "text_hash", "text")
+        # Rows don't move for ids with several texts unless those are many.
+        n = several.count()
+        marked = given.join(F.broadcast(several) if n <= FEW_IDS else several, "own", "left") if n else given.withColumn("several", F.lit(False))
+        rows = marked.select(F.when(F.col("own").isNull() | F.col("several"), nameless).otherwise(F.col("own")).alias("id"), "own", "text_hash", "text")
     else:
         rows = given.select(F.col("own").alias("id"), "own", "text_hash", "text")
     base = cut(signatures(rows))
