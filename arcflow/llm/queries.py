@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcflow.llm import chat, decontaminate, fingerprint, html_text, katz, language, neardup, pieces, substrings, toxicity
+from arcflow.llm import audit, chat, decontaminate, fingerprint, html_text, katz, language, mixing, neardup, pieces, spelling, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,8 +75,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(mixing.mix(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_fingerprints, op3_sentencepiece, op4_neardup, op5_decontamination, op6_substrings, op7_language_model, op8_html_text, op9_preferences, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language, op2_fingerprints, op3_sentencepiece, op4_neardup, op5_decontamination, op6_substrings, op7_language_model, op8_html_text, op9_preferences, op10_toxicity, op11_spelling, op12_filter_audit, op13_mixing)}
 
 
 PREFERENCES_SQL = """
@@ -146,5 +158,59 @@ from (select doc_id, min(m) as m from r group by doc_id) left join n using (doc_
 """
 
 
+AUDIT_SQL = f"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+w as (select doc_id, part, text, regexp_extract_all(text, '{_BLANKS}') as w from d),
+least_of as (select text, min(doc_id) as least from d group by text),
+f as (
+  select doc_id, part, (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text))::int
+    + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * coalesce(doc_id > least, false)::int as mask
+  from w join least_of using (text)),
+l as (select doc_id, max(quality) as good, max(toxic) as toxic from labels group by doc_id),
+m as (select part, mask, count(*) as n, count(*) filter (good = 1) as good, count(*) filter (toxic = 1) as toxic from f left join l using (doc_id) group by part, mask),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as c, unnest([1, 2, 4, 8, 16]) as bit),
+orders as (
+  select a.c || b.c || c.c || d.c || e.c as o from letters a, letters b, letters c, letters d, letters e
+  where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+steps as (
+  select o, step, bit, coalesce((select sum(y.bit) from letters y where contains(substr(o, 1, step - 1), y.c)), 0)::int as before
+  from orders, range(1, 6) r(step), letters x where x.c = substr(o, step, 1)),
+told as (
+  select part, o as filter_order, step::int as step, bit,
+    sum(case when mask & before = 0 and mask & bit = 0 then n else 0 end)::bigint as kept,
+    sum(case when mask & before = 0 and mask & bit <> 0 then n else 0 end)::bigint as removed,
+    sum(case when mask & before <> 0 and mask & bit <> 0 then n else 0 end)::bigint as redundant,
+    sum(case when mask = bit then n else 0 end)::bigint as unique_fails,
+    sum(case when mask & before = 0 and mask & bit <> 0 then good else 0 end)::bigint as good_lost,
+    sum(case when mask & before = 0 and mask & bit <> 0 then toxic else 0 end)::bigint as toxic_lost
+  from m, steps group by part, o, step, bit)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley from told
+"""
+
+MIXING_SQL = f"""
+with recursive d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{_BLANKS}')), 0)::bigint as size from documents),
+s as (select source, sum(size)::bigint as source_size, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight from d group by source),
+-- Sources above their limit get it, and what is left is shared anew by the others' weights.
+rounds(k, source, source_size, weight, full_up) as (
+  select 0, source, source_size, weight, false from s
+  union all
+  select k + 1, source, source_size, weight, full_up or weight * (1.5 * all_size - 2 * full_size) > 2.0 * source_size * open_weight
+  from (select *, sum(source_size) over () as all_size, sum(case when full_up then source_size else 0 end) over () as full_size, sum(case when full_up then 0 else weight end) over () as open_weight from rounds)
+  where k < (select count(*) from s)),
+t as (
+  select source, source_size,
+    case when full_up then 2.0 * source_size else (1.5 * sum(source_size) over () - 2.0 * sum(case when full_up then source_size else 0 end) over ())::double * weight::double / (sum(case when full_up then 0 else weight end) over ())::double end::double as target
+  from rounds where k = (select count(*) from s)),
+turns as (select doc_id, d.source, size, source_size, target, copy, ('0x' || substr(md5(concat_ws(':', 42, copy, doc_id)), 1, 15))::ubigint::bigint as key from d join t on t.source is not distinct from d.source, range(2) r(copy)),
+queue as (select *, coalesce(sum(size) over (partition by source order by copy, key, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as before from turns),
+served as (select *, greatest(0, least(size, ceil(target)::bigint - before)) as words from queue),
+timed as (select *, least(1.0::double, (before + words)::double / target) as finish from served where words > 0),
+mixed as (select *, coalesce(sum(words) over (order by finish, source nulls first, copy, key, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as position from timed),
+taken as (select doc_id, sum(greatest(0, least(words, (select floor(1.5 * sum(size))::bigint from d) - position)))::bigint as taken from mixed group by doc_id)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from d join t on t.source is not distinct from d.source left join taken using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_neardup": NEARDUP_SQL, "op5_decontamination": CONTAMINATION_SQL, "op6_substrings": SUBSTRINGS_SQL, "op9_preferences": PREFERENCES_SQL}
+    return {"op4_neardup": NEARDUP_SQL, "op5_decontamination": CONTAMINATION_SQL, "op6_substrings": SUBSTRINGS_SQL, "op9_preferences": PREFERENCES_SQL, "op12_filter_audit": AUDIT_SQL, "op13_mixing": MIXING_SQL}
