@@ -9,7 +9,9 @@ the threshold: `SURGE` characters, or 1 / `MARK` of the page's greatest sum wher
 So menus and lists of links go because their sums are zero, and stray lines between them
 because they don't surge; a short heading or a line that is only a link stays in its story.
 
-What a page marks as its article (article, main) weighs in the lengths. A marked element
+What a page marks as its article (article, main) weighs in the lengths. In it a paragraph that
+is a link is prose, a dive doesn't end the story, and only a class, id or role all of whose
+words say so takes a part out: not `social-history` or `share-price`. A marked element
 whose greatest sum is under 1 / `MARK` of the page's is the card of another story and goes.
 Lines outside all marked elements have no length where their greatest sum doesn't exceed that
 of every marked element.
@@ -58,18 +60,38 @@ NOISE = frozenset(
 #: Words that mark a frame around the whole page rather than the part itself.
 FRAME = frozenset("has with no without wrapper wrap layout page container main content body article".split())
 
+#: Of these words, those that also name what an article is about: they count only beside words of place, and beside others only the rest.
+WEAK = frozenset("alert search login header banner overlay widget menu reply replies respond promotion social share sharing related recommended recommendations".split())
+#: Words of place and kind, which beside a marking word leave it what it is.
+PLACE = frozenset(
+    "site global top bottom left right upper lower primary secondary js mod module region zone area box block bar list links link button buttons btn icon icons post posts story stories item items "
+    "section slot unit group inner outer row strip panel form text message title heading small large sticky fixed inline mobile desktop count thread".split()
+)
+
 RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 #: The part of a tag up to its end or to a quote.
 UNQUOTED = re.compile(r"[^>\"']*")
-ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?=[\s=/>])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: A name and its value; quoted values are taken whole, so that what they say is no name.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """(not part of the article, the article itself) by an element's name and attributes."""
+def _noise(token: str, inside: bool) -> bool:
+    """Whether a word of a class, id or role marks what isn't the article; inside a marked article all its words must say so."""
+    words = {w for x in WORD.findall(token) if len(w := x.lower()) > 1}
+    if words & FRAME:
+        return False
+    placed = words <= NOISE | PLACE
+    if words & WEAK and not words & NOISE - WEAK:
+        return placed and (bool(words & PLACE) or not inside)
+    return bool(words & NOISE) and (placed or not inside)
+
+
+def _marks(tag: str, attributes: str, inside: bool = False) -> tuple[bool, bool]:
+    """(not part of the article, the article itself) by an element's name and attributes; `inside` a marked article only what is clearly none of it goes."""
     dropped, main = tag in DROPPED, tag in MAIN
-    if "=" not in attributes and "hidden" not in attributes:
+    if "=" not in attributes and "hidden" not in attributes.lower():
         return dropped, main
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
@@ -82,7 +104,7 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
         elif name in ("class", "id", "role") and tag not in ("html", "body"):
             for x in value.split():
                 words = {w.lower() for w in WORD.findall(x)}
-                dropped |= bool(words & NOISE) and not words & FRAME and tag not in MAIN | HEADINGS or bool(words & {"comment", "comments"}) and not words & FRAME
+                dropped |= _noise(x, inside) and tag not in MAIN | HEADINGS or bool(words & {"comment", "comments"}) and not words & FRAME and (not inside or words <= NOISE | PLACE)
     return dropped, main
 
 
@@ -175,7 +197,8 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
         nonlocal free
         if text and not spans:
             parts.append(text)
-            if not links:
+            # A paragraph of a marked article is prose, be it a link; entries of lists that are links are a menu.
+            if not links or (stack.top()[0] == "p" and stack.top()[3]):
                 free += len(text.strip())
 
     for begin, end, tag, end_tag, more in _tags(page):
@@ -214,7 +237,7 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
             while stack.open and (stack.top()[0] == "p" or (tag in HEADINGS and stack.top()[0] in HEADINGS)):
                 stack.cut(len(stack.open) - 1)
         links = spans = 0
-        dropped, main = _marks(tag, more)
+        dropped, main = _marks(tag, more, stack.top()[3] > 0)
         _, up_dropped, up_menu, region = stack.top()
         marked += main
         if not more.endswith("/>") or tag in MAIN:
@@ -229,22 +252,29 @@ def sums(lengths: list[int]) -> np.ndarray:
     return np.convolve(lengths, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
 
 
-def between_surge_and_dive(lengths: list[int]) -> np.ndarray:
-    """Of each line, whether it is in a run of lines with a surge; a run begins at a line with a length and ends before a dive."""
+def between_surge_and_dive(lengths: list[int], regions: list[int] | None = None) -> np.ndarray:
+    """Of each line, whether it is in a run of lines with a surge; a run begins at a line with a length and ends before a dive.
+
+    Of a marked element (`regions`, 0: none) in which one run surges, all runs are kept: a dive within the article parts it, but doesn't end it."""
     if not len(lengths):
         return np.zeros(0, bool)
     blocks = sums(lengths)
     threshold = min(SURGE, blocks.max() / MARK)
     kept, begin, surge = np.zeros(len(lengths), bool), -1, False
+    runs: list[tuple[int, int, bool]] = []
     for k, total in enumerate([*blocks.tolist(), 0]):
         if total == 0:
-            if surge:
-                kept[begin:k] = True
+            if begin >= 0:
+                runs.append((begin, k, surge))
             begin, surge = -1, False
         else:
             if begin < 0 and lengths[k]:
                 begin = k
             surge |= begin >= 0 and total >= threshold
+    marks = np.zeros(len(lengths), np.int64) if regions is None else np.array(regions)
+    told = {int(r) for a, b, s in runs if s for r in np.unique(marks[a:b])} - {0}
+    for a, b, s in runs:
+        kept[a:b] = s or (np.isin(marks[a:b], list(told)) if told else False)
     return kept
 
 
@@ -258,7 +288,7 @@ def main_text(page: str | None) -> str:
     most = max(greatest.values(), default=0)
     outside = greatest.get(0, 0) > max((n for r, n in greatest.items() if r), default=0)
     found = [x for x in found if not x[3] or greatest[x[3]] * MARK >= most]
-    kept = between_surge_and_dive([free if region or outside else 0 for _, free, _, region in found])
+    kept = between_surge_and_dive([free if region or outside else 0 for _, free, _, region in found], [region for *_, region in found])
     return " ".join(x[0] for x, k in zip(found, kept, strict=True) if k)
 
 

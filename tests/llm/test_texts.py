@@ -245,3 +245,30 @@ def test_echo_pairs(spark):
     assert [t["text"] for t in found[1]["rejected"]] == ["q", "a", "r", "r"] and len(found[1]["chosen"]) == 4
     assert [t["text"] for t in found[4]["rejected"]] == [""]
     assert chat.echo_pairs(table(spark, [], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_article_parts_that_look_like_noise():
+    """Only attribute names count, only whole class words, and a dive doesn't end a marked article."""
+    prose = "This sentence of the story is long enough to count as a line of its own. "
+    story = lambda part: f"<body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>Title</h1><p>{prose * 3}</p>{part}<p>{prose * 3}</p></article><footer>Imprint</footer></body>"
+    for part in (
+        '<p title="hidden costs explained">Kept words here.</p>', '<p data-note="a hidden gem">Kept words here.</p>', '<p title="the class=ad case">Kept words here.</p>', "<p data-x='style=\"display:none\"'>Kept words here.</p>",
+        '<section class="social-history"><p>Kept words here.</p></section>', '<div class="share-price"><p>Kept words here.</p></div>', '<section id="related-work"><p>Kept words here.</p></section>', '<div class="alert"><p>Kept words here.</p></div>',
+        '<ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a><li><a href=4>four</a></ul><p>Kept words here.</p><ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a><li><a href=4>four</a></ul>',
+        "<p><a href=1>Kept words here.</a></p><p><a href=2>Another link in prose.</a></p><p><a href=3>And one more link.</a></p>",
+    ):
+        got = html_text.main_text(story(part))
+        assert "Kept words here." in got and "Home" not in got and "Imprint" not in got, part
+    closing = story("")[: -len("</article><footer>Imprint</footer></body>")] + "<ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a><li><a href=4>four</a></ul><p>The end.</p></article><footer>Imprint</footer></body>"
+    assert html_text.main_text(closing).endswith("The end.")
+    for part in ('<div class="ad"><p>Gone words here.</p></div>', '<div class="ad-slot top"><p>Gone words here.</p></div>', '<div class="share-buttons">Gone words here.</div>', '<p hidden>Gone words here.</p>', '<section id="comments"><p>Gone words here.</p></section>', '<div class="cookie-notice">Gone words here.</div>', "<aside>Gone words here.</aside>", '<p style="display: none">Gone words here.</p>'):
+        assert "Gone" not in html_text.main_text(story(part)), part
+
+
+def test_attributes_in_linear_time():
+    import time
+
+    for text in ('<p ' + 'a="' * 200_000 + ">x", "<p " + "a " * 300_000 + ">x", "<p " + "a" + " " * 500_000 + ">x", "<p class='" + "ad " * 200_000 + "'>x</p>"):
+        began = time.perf_counter()
+        html_text.main_text(text)
+        assert time.perf_counter() - began < 5, text[:20]
