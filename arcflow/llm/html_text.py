@@ -252,32 +252,43 @@ def sums(lengths: list[int]) -> np.ndarray:
     return np.convolve(lengths, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
 
 
-def between_surge_and_dive(lengths: list[int], regions: list[int] | None = None) -> np.ndarray:
-    """Of each line, whether it is in a run of lines with a surge; a run begins at a line with a length and ends before a dive.
-
-    Of a marked element (`regions`, 0: none) in which one run surges, all runs are kept: a dive within the article parts it, but doesn't end it."""
+def runs(lengths: list[int]) -> list[tuple[int, int, bool]]:
+    """Begin, end and whether there is a surge of each run of lines; a run begins at a line with a length and ends before a dive."""
     if not len(lengths):
-        return np.zeros(0, bool)
+        return []
     blocks = sums(lengths)
     threshold = min(SURGE, blocks.max() / MARK)
-    kept, begin, surge = np.zeros(len(lengths), bool), -1, False
-    runs: list[tuple[int, int, bool]] = []
+    out, begin, surge = [], -1, False
     for k, total in enumerate([*blocks.tolist(), 0]):
         if total == 0:
             if begin >= 0:
-                runs.append((begin, k, surge))
+                out.append((begin, k, surge))
             begin, surge = -1, False
         else:
             if begin < 0 and lengths[k]:
                 begin = k
             surge |= begin >= 0 and total >= threshold
-    marks = np.zeros(len(lengths), np.int64) if regions is None else np.array(regions)
-    told = {int(r) for a, b, s in runs if s for r in np.unique(marks[a:b])} - {0}
-    for a, b, s in runs:
-        kept[a:b] = s or (np.isin(marks[a:b], list(told)) if told else False)
+    return out
+
+
+def between_surge_and_dive(lengths: list[int]) -> np.ndarray:
+    """Of each line, whether it is in a run of lines with a surge."""
+    kept = np.zeros(len(lengths), bool)
+    for begin, end, surge in runs(lengths):
+        kept[begin:end] |= surge
     return kept
 
 
+def continued(kept: np.ndarray, lengths: list[int], regions: list[int]) -> np.ndarray:
+    """`kept`, and of a marked element (`regions`, 0: none) with lines that are kept, the lines of all its runs: a dive within the article parts it, but doesn't end it."""
+    marks = np.array(regions, np.int64)
+    told = np.unique(marks[kept & (marks > 0)])
+    out = kept.copy()
+    for begin, end, _ in runs(lengths):
+        out[begin:end] |= np.isin(marks[begin:end], told)
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page."""
     found = [x for x in lines(page or "") if not x[2]]
@@ -288,7 +299,8 @@ def main_text(page: str | None) -> str:
     most = max(greatest.values(), default=0)
     outside = greatest.get(0, 0) > max((n for r, n in greatest.items() if r), default=0)
     found = [x for x in found if not x[3] or greatest[x[3]] * MARK >= most]
-    kept = between_surge_and_dive([free if region or outside else 0 for _, free, _, region in found], [region for *_, region in found])
+    lengths = [free if region or outside else 0 for _, free, _, region in found]
+    kept = continued(between_surge_and_dive(lengths), lengths, [region for *_, region in found])
     return " ".join(x[0] for x, k in zip(found, kept, strict=True) if k)
 
 
