@@ -4,7 +4,10 @@ Terms are A-Z lower-cased words (ASCII letters and digits and all non-ASCII char
 hashed to 2^18 buckets; a text is the set of its buckets. The model has a bias, a weight
 for each term and a vector of `FACTORS` for each term, whose products add what pairs of
 terms say beyond their weights. Learned are the `TERMS` buckets that are most unlike
-between the classes in the training rows (by z-score of their document shares); others
+between the classes in the training rows (by z-score of their document shares), and all
+buckets of a telling pair, however neutral each is by itself: pairs whose rows together
+are off what the model of the first says by more than chance gives the greatest of all
+pairs. Pairs are told from terms that at least `PAIR_SHARE` of the rows have. Other terms
 have no weight. The loss is the log loss with a quadratic penalty.
 
 Training takes a bounded sample of labelled rows: all if there are at most `SAMPLE`,
@@ -17,8 +20,8 @@ taken; texts of any length are read whole; without rows of both classes every sc
 there is none); an empty table gives an empty table; other columns don't matter.
 
 Scale: one map over the documents, whose other columns stay where they are; the model
-broadcast is at most 2^18 * 4 + TERMS * (FACTORS + 1) * 4 bytes, whatever the data. To the
-driver go two counts for each of 2^18 buckets, and the learned terms of the sample.
+broadcast is at most 2^18 * (FACTORS + 2) * 4 bytes, whatever the data. To the driver go
+two counts for each of 2^18 buckets, and of the sample the terms that may be learned.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcflow.llm.words import LOWER, NORMAL, buffers, hash_words, slices, split
+from arcflow.llm.words import LOWER, NORMAL, buffers, hash_words, mix, slices, split
 from arcflow.plans.cut import cut
 
 BITS = 18
@@ -39,6 +42,10 @@ TERMS = 1024
 FACTORS = 8
 SAMPLE = 20_000
 STEPS = 250
+#: Share of the rows that terms of pairs have.
+PAIR_SHARE = 0.01
+#: Terms whose pairs are counted together.
+PAIR_BLOCK = 1024
 PENALTY = 2e-3
 
 _APART = NORMAL == 0x20
@@ -90,25 +97,72 @@ def telling_terms(ones: np.ndarray, every: np.ndarray, n: int, toxic: int, n_ter
     return np.sort(chosen[z[chosen] != 0])
 
 
+def frequent_terms(every: np.ndarray, n: int) -> np.ndarray:
+    """Buckets in enough rows for their pairs to be told."""
+    return np.flatnonzero(every >= max(10, PAIR_SHARE * n))
+
+
+def telling_pairs(found: np.ndarray, offsets: np.ndarray, error: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Buckets of `of` in pairs whose rows' errors add up to more than chance gives the greatest of all pairs; rows with the same terms count once."""
+    place = np.full(1 << BITS, -1, np.int32)
+    place[of] = np.arange(len(of))
+    at, owner = place[found], np.repeat(np.arange(len(error)), np.diff(offsets))
+    at, owner = at[at >= 0], owner[at >= 0]
+    whole = np.bincount(owner, mix(at.astype(np.uint64), 5).astype(np.float64), len(error))
+    _, single = np.unique(np.stack([whole, error.round(6)]), axis=1, return_index=True)
+    row = np.full(len(error), -1)
+    row[single] = np.arange(len(single))
+    at, owner = at[row[owner] >= 0], row[owner[row[owner] >= 0]]
+    error = error[single].astype(np.float32)
+    limit = np.sqrt(2 * np.log(max(2, len(of) * (len(of) - 1) / 2))) + 1
+    told = np.zeros(len(of), bool)
+
+    def block(first: int) -> np.ndarray:
+        out = np.zeros((len(error), min(PAIR_BLOCK, len(of) - first)), np.float32)
+        own = (at >= first) & (at < first + PAIR_BLOCK)
+        out[owner[own], at[own] - first] = 1
+        return out
+
+    for a in range(0, len(of), PAIR_BLOCK):
+        left = block(a)
+        off, spread = left * error[:, None], left * error[:, None] ** 2
+        for b in range(a, len(of), PAIR_BLOCK):
+            right = left if a == b else block(b)
+            z = np.abs(off.T @ right) / np.sqrt(np.maximum(spread.T @ right, 1.0))
+            if a == b:
+                np.fill_diagonal(z, 0)
+            one, other = np.nonzero(z > limit)
+            told[a + one], told[b + other] = True, True
+    return of[told]
+
+
 def fit(found: np.ndarray, offsets: np.ndarray, labels: np.ndarray, n_terms: int = TERMS, n_factors: int = FACTORS, steps: int = STEPS, penalty: float = PENALTY) -> Model:
-    """Fit on rows of distinct hashed terms with labels 0 and 1."""
+    """Fit on rows of distinct hashed terms with labels 0 and 1: on the terms most unlike between the classes, and again with those of telling pairs if there are any."""
     n, toxic = len(labels), labels == 1
-    place = np.full(1 << BITS, -1, np.int32)
     if not n or toxic.all() or not toxic.any():
         mean = float(labels.mean()) if n else 0.0
         bias = np.log(mean / (1 - mean)) if 0 < mean < 1 else (40.0 if mean else -40.0)
-        return Model(float(bias), place, np.empty(0, np.float32), np.empty((0, n_factors), np.float32))
+        return Model(float(bias), np.full(1 << BITS, -1, np.int32), np.empty(0, np.float32), np.empty((0, n_factors), np.float32))
     owner = np.repeat(np.arange(n), np.diff(offsets))
     ones = np.bincount(found[toxic[owner]], minlength=1 << BITS)
     every = np.bincount(found, minlength=1 << BITS)
     chosen = telling_terms(ones, every, n, int(toxic.sum()), n_terms)
+    model = _fit_terms(found, offsets, labels, chosen, n_factors, steps, penalty)
+    pairs = telling_pairs(found, offsets, labels - model.scores(found, offsets), frequent_terms(every, n))
+    more = np.union1d(chosen, pairs)
+    return model if len(more) == len(chosen) else _fit_terms(found, offsets, labels, more, n_factors, steps, penalty)
+
+
+def _fit_terms(found: np.ndarray, offsets: np.ndarray, labels: np.ndarray, chosen: np.ndarray, n_factors: int, steps: int, penalty: float) -> Model:
+    n, place = len(labels), np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    at = place[found]
+    at, owner = place[found], np.repeat(np.arange(n), np.diff(offsets))
     x = np.zeros((n, len(chosen)), np.float32)
     x[owner[at >= 0], at[at >= 0]] = 1
     y = labels.astype(np.float32)
     rng = np.random.default_rng(7)
-    bias, weights, factors = np.float32(np.log(toxic.mean() / (1 - toxic.mean()))), np.zeros(len(chosen), np.float32), rng.normal(0, 0.05, (len(chosen), n_factors)).astype(np.float32)
+    mean = y.mean()
+    bias, weights, factors = np.float32(np.log(mean / (1 - mean))), np.zeros(len(chosen), np.float32), rng.normal(0, 0.05, (len(chosen), n_factors)).astype(np.float32)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (weights, factors)]
     for step in range(1, steps + 1):
         error, *slopes = gradient(x, y, bias, weights, factors, penalty)
@@ -150,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     every, ones = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     at = counts.column("term").to_numpy()
     every[at], ones[at] = counts.column("every").to_numpy(), counts.column("ones").to_numpy()
-    chosen = telling_terms(ones, every, sizes["n"], sizes["toxic"], TERMS)
+    chosen = np.union1d(telling_terms(ones, every, sizes["n"], sizes["toxic"], TERMS), frequent_terms(every, sizes["n"]))
     got = found.select("id", "label", F.array_intersect("found", F.lit(chosen.tolist()).cast("array<int>")).alias("found")).toArrow()
     got = got.combine_chunks().sort_by([("id", "ascending"), ("label", "ascending")])
     lists = got.column("found").combine_chunks()

@@ -272,3 +272,37 @@ def test_attributes_in_linear_time():
         began = time.perf_counter()
         html_text.main_text(text)
         assert time.perf_counter() - began < 5, text[:20]
+
+
+def neutral_pair(n, seed, others=5000):
+    """Rows whose label says whether both or none of two terms is there; each says nothing by itself, nor does any of 5,000 others."""
+    rng = np.random.default_rng(seed)
+    pair = rng.random((n, 2)) < 0.5
+    labels = (pair[:, 0] == pair[:, 1]).astype(int)
+    rows = [np.unique(np.concatenate([np.array([7, 11])[p], 100 + rng.integers(0, others, 60)])) for p in pair]
+    return np.concatenate(rows).astype(np.int32), np.concatenate([[0], np.cumsum([len(r) for r in rows])]), labels
+
+
+def test_a_pair_of_neutral_terms_is_learned():
+    model = toxicity.fit(*neutral_pair(3000, 1))
+    assert model.place[7] >= 0 and model.place[11] >= 0
+    found, offsets, labels = neutral_pair(2000, 2)
+    score = model.scores(found, offsets)
+    order = np.argsort(np.argsort(score)) + 1
+    toxic = labels == 1
+    auc = (order[toxic].sum() - toxic.sum() * (toxic.sum() + 1) / 2) / (toxic.sum() * (~toxic).sum())
+    assert auc > 0.9
+
+
+def test_pairs_of_rare_events_and_of_chance():
+    """A pair with 8 % each of which both mean toxic; without it no pair is told."""
+    rng = np.random.default_rng(3)
+    n = 16_000
+    a, b = rng.random(n) < 0.08, rng.random(n) < 0.08
+    rows = [np.unique(np.concatenate([rng.integers(100, 2100, 40), [7] * int(x), [11] * int(y)])).astype(np.int32) for x, y in zip(a, b, strict=True)]
+    found, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    every = np.bincount(found, minlength=1 << toxicity.BITS)
+    of = toxicity.frequent_terms(every, n)
+    for both, want in ((a & b, {7, 11}), (rng.random(n) < 0.01, set())):
+        labels = (both | (rng.random(n) < 0.05)).astype(float)
+        assert set(toxicity.telling_pairs(found, offsets, labels - labels.mean(), of).tolist()) == want
