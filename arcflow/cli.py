@@ -40,7 +40,7 @@ def parse(arguments: list[str]) -> argparse.Namespace:
     parser.add_argument("--seed", type=int, default=walk.SEED, help="of mc")
     parser.add_argument("--replicas", type=int, default=1, help="walks of mc from each node")
     parser.add_argument("--repeats", type=int, default=1, help="calls that each go on from the last one's values; not for mc, whose calls start anew")
-    parser.add_argument("--strategy", default="auto", help="auto, task, broadcast or shuffle")
+    parser.add_argument("--strategy", default="auto", help="auto, blocks, broadcast or shuffle; walks go over blocks")
     parser.add_argument("--target", type=int, default=1)
     parser.add_argument("--output", help="folder for all ranks as Parquet")
     options = parser.parse_args(arguments)
@@ -63,14 +63,14 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     spark = spark or SparkSession.builder.appName("arcflow").getOrCreate()
     began = time.perf_counter()
     graph = Graph(coo.read_coo(spark, options.file, options.edges, options.nodes), spark.range(options.nodes))
-    graph.n_pairs  # noqa: B018
+    graph.blocks  # noqa: B018
     print(f"loading {(time.perf_counter() - began) * 1e6:.0f} us")
     began = time.perf_counter()
     compute = {
         "sync": lambda: fixed.rank_sync(graph, options.iterations, options.damping, options.repeats, options.strategy),
         "linf": lambda: fixed.rank_linf(graph, options.tolerance, options.damping, strategy=options.strategy, repeats=options.repeats),
         "async": lambda: active.rank_async(graph, options.tolerance, options.damping, options.repeats, strategy=options.strategy),
-        "mc": lambda: walk.rank_monte_carlo(graph, options.length, options.replicas, options.seed, options.damping, options.strategy),
+        "mc": lambda: walk.rank_monte_carlo(graph, options.length, options.replicas, options.seed, options.damping),
     }
     ranks = compute[options.mode]()
     print(f"computing {(time.perf_counter() - began) * 1e6:.0f} us")

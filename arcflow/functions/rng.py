@@ -1,80 +1,84 @@
-"""Stateless uniform numbers: the same key gives the same bits in every engine."""
+"""Stateless uniform numbers: the same key gives the same bits in Spark, in NumPy and in SQL.
+
+A key is whole numbers. Each is taken as two words of 32 bits, and each word is mixed into
+32 bits by xors, shifts and two multiplications whose factors are below 2^31, so that no
+product exceeds a signed 64-bit integer and engines that check overflow agree with those
+that wrap.
+"""
 
 from __future__ import annotations
 
-import hashlib
-import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# A published mixer of 32 bits, and what sets its start and the second word apart.
+FACTORS = (0x21F0AAAD, 0x735A2D97)
+SHIFTS = (16, 15, 15)
+START, SECOND = 0x2545F491, 0x5851F42D
+_MASK = 0xFFFFFFFF
+
+
+def _step(shift: int, factor: int | None) -> Callable[[Column], Column]:
+    def run(x: Column) -> Column:
+        x = x.bitwiseXOR(F.shiftright(x, shift))
+        return x if factor is None else (x * F.lit(factor).cast("long")).bitwiseAND(F.lit(_MASK))
+
+    return run
+
+
+def _mix_column(x: Column) -> Column:
+    """Each step names the last one's value once, as a column that names it twice would double in size with each."""
+    for shift, factor in zip(SHIFTS, (*FACTORS, None), strict=True):
+        x = F.transform(F.array(x), _step(shift, factor))[0]
+    return x
+
+
+def uniform(*key: Column | int) -> Column:
+    """A number in [0, 1) with 52 bits for a key of whole numbers, each below 2^63 and not below -2^63."""
+    h = F.lit(START).cast("long")
+    for part in key:
+        part = part.cast("long") if isinstance(part, Column) else F.lit(part).cast("long")
+        for word in (part.bitwiseAND(F.lit(_MASK)), F.shiftrightunsigned(part, 32)):
+            h = _mix_column(h.bitwiseXOR(word))
+    both = F.transform(F.array(h), lambda h: h.cast("double") * float(1 << 20) + F.shiftright(_mix_column(h.bitwiseXOR(F.lit(SECOND))), 12).cast("double"))
+    return both[0] / F.lit(float(1 << 52))
+
+
+def _mix_array(x: np.ndarray) -> np.ndarray:
+    for shift, factor in zip(SHIFTS, (*FACTORS, None), strict=True):
+        x = x ^ (x >> np.uint64(shift))
+        if factor is not None:
+            x = (x * np.uint64(factor)) & np.uint64(_MASK)
+    return x
+
+
+def uniform_array(*key: np.ndarray | int) -> np.ndarray:
+    """`uniform` of arrays."""
+    h = np.uint64(START)
+    for part in key:
+        part = np.asarray(part, np.int64).view(np.uint64)
+        for word in (part & np.uint64(_MASK), part >> np.uint64(32)):
+            h = _mix_array(h ^ word)
+    low = _mix_array(h ^ np.uint64(SECOND))
+    return (h.astype(np.float64) * float(1 << 20) + (low >> np.uint64(12)).astype(np.float64)) / float(1 << 52)
+
+
+def _sql_mix(x: str) -> str:
+    """The mixer of an SQL expression, by lists of one element, so that each step names the last one's value once."""
+    first, second = FACTORS
+    steps = (f"xor(x, x >> {SHIFTS[0]}) * {first} & {_MASK}", f"xor(x, x >> {SHIFTS[1]}) * {second} & {_MASK}", f"xor(x, x >> {SHIFTS[2]})")
+    for step in steps:
+        x = f"list_transform([{x}], lambda x: {step})[1]"
+    return x
+
 
-def uniform(*key: Column | int | str) -> Column:
-    """A number in [0, 1) from the first 48 bits of the MD5 of the key's parts joined by colons."""
-    parts = [k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in key]
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-
-
-# Fixed values of MD5: its start, the shifts of its four rounds, and its constants by their rule.
-_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
-_SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
-_SINES = [np.uint32(int(abs(math.sin(k + 1)) * (1 << 32))) for k in range(64)]
-#: Messages hashed together, so that an array stays in a core's cache.
-CHUNK = 8192
-
-
-def _first_words(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first two words of the MD5 of messages of one block each, as rows of 16 words."""
-    columns = np.ascontiguousarray(words.T)
-    a, b, c, d = (np.full(len(words), x, np.uint32) for x in _START)
-    for k in range(64):
-        turn = k // 16
-        if turn == 0:
-            f, g = d ^ (b & (c ^ d)), k
-        elif turn == 1:
-            f, g = c ^ (d & (b ^ c)), (5 * k + 1) % 16
-        elif turn == 2:
-            f, g = b ^ c ^ d, (3 * k + 5) % 16
-        else:
-            f, g = c ^ (b | ~d), 7 * k % 16
-        f = f + a + _SINES[k] + columns[g]
-        s = np.uint32(_SHIFTS[turn][k % 4])
-        a, d, c, b = d, c, b, b + ((f << s) | (f >> (np.uint32(32) - s)))
-    return a + np.uint32(_START[0]), b + np.uint32(_START[1])
-
-
-def uniform_of(messages: np.ndarray) -> np.ndarray:
-    """`uniform` of joined keys of one length, as rows of bytes."""
-    n, size = messages.shape
-    if size > 55:
-        return np.array([int(hashlib.md5(m.tobytes()).hexdigest()[:12], 16) for m in messages]) / float(1 << 48)
-    out = np.empty(n)
-    for k in range(0, n, CHUNK):
-        part = messages[k : k + CHUNK]
-        block = np.zeros((len(part), 64), np.uint8)
-        block[:, :size] = part
-        block[:, size] = 0x80
-        block[:, 56], block[:, 57] = size * 8 & 255, size * 8 >> 8
-        a, b = _first_words(block.view("<u4"))
-        out[k : k + CHUNK] = a.byteswap().astype(np.float64) * 65536 + (b.byteswap() >> np.uint32(16))
-    return out / float(1 << 48)
-
-
-def uniform_steps(seed: int, replicas: np.ndarray, sources: np.ndarray, length: int, slots: str) -> np.ndarray:
-    """`uniform(seed, replica, source, t, slot)` of walkers by steps by slots (of one letter each)."""
-    heads = [f"{seed}:{r}:{s}:".encode() for r, s in zip(replicas.tolist(), sources.tolist(), strict=True)]
-    sizes = np.array([len(h) for h in heads])
-    out = np.empty((len(heads), length, len(slots)))
-    for size in np.unique(sizes).tolist():
-        rows = np.flatnonzero(sizes == size)
-        head = np.frombuffer(b"".join(heads[k] for k in rows.tolist()), np.uint8).reshape(len(rows), size)
-        first = 0
-        while first < length:  # steps of one number of digits
-            last = min(length, 10 ** len(str(first)))
-            tails = np.array([list(f"{t}:{slot}".encode()) for t in range(first, last) for slot in slots], np.uint8)
-            whole = np.empty((len(rows), len(tails), size + tails.shape[1]), np.uint8)
-            whole[:, :, :size], whole[:, :, size:] = head[:, None], tails
-            out[rows, first:last] = uniform_of(whole.reshape(-1, whole.shape[2])).reshape(len(rows), last - first, len(slots))
-            first = last
-    return out
+def uniform_sql(*key: str | int) -> str:
+    """`uniform` in SQL of integer expressions that aren't negative."""
+    h = str(START)
+    for part in key:
+        for word in (f"(({part})::bigint & {_MASK})", f"(({part})::bigint >> 32)"):
+            h = _sql_mix(f"xor(({h})::bigint, {word})")
+    return f"list_transform([{h}], lambda x: (x::double * {1 << 20} + ({_sql_mix(f'xor(x, {SECOND}::bigint)')} >> 12)::double) / {float(1 << 52)})[1]"

@@ -8,6 +8,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcflow.plans.blocks import Blocks, blocks_of
+from arcflow.plans.cut import cut
+from arcflow.plans.spread import join_counted
+
 
 class Graph:
     """Edges (src, dst) as a bag, and nodes (id): those given, or all that edges name.
@@ -67,10 +71,16 @@ class Graph:
         """(src, dst, weight, own): one row per distinct edge, weighing its share of the source's out-edges,
         and one per node to itself with weight 0 and `own` set, so that no later join or union is needed to keep every node."""
         pairs = self.kept_pairs
-        total = pairs.groupBy("src").agg(F.sum("n").alias("degree"))
-        weighed = pairs.join(total, "src").select("src", "dst", (F.col("n") / F.col("degree")).alias("weight"), F.lit(False).alias("own"))
+        total = cut(pairs.groupBy("src").agg(F.sum("n").alias("degree"), F.count(F.lit(1)).alias("links")))
+        met = join_counted(pairs, total, ["src"], "links", ["dst"])
+        weighed = met.select("src", "dst", (F.col("n") / F.col("degree")).alias("weight"), F.lit(False).alias("own"))
         return weighed.unionByName(self.nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("weight"), F.lit(True).alias("own")))
 
+    @cached_property
+    def blocks(self) -> Blocks:
+        """The graph as packed blocks, kept on the executors."""
+        return blocks_of(self)
+
     @cached_property
     def n_pairs(self) -> int:
         return self.kept_pairs.count()
@@ -81,5 +91,7 @@ class Graph:
 
     def release(self) -> None:
         """Drop what is kept."""
+        if "blocks" in self.__dict__:
+            self.__dict__.pop("blocks").release()
         if "kept_pairs" in self.__dict__:
             self.__dict__.pop("kept_pairs").unpersist()

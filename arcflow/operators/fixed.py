@@ -14,19 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcflow.graph import Graph
-from arcflow.plans.arrays import Links, run_in_task
+from arcflow.plans.blocks import Block, Letter, Mail, kept_in_place
 from arcflow.plans.bounds import choose
 from arcflow.plans.cut import cut
-from arcflow.plans.spread import hot_limit
+from arcflow.plans.rounds import Rounds
+from arcflow.plans.spread import hot_limit, join_counted
 
 DAMPING = 0.85
 TOLERANCE = 0.0015
 ROUNDS = 50
 MAX_ROUNDS = 10_000
 #: Rounds of a fixed number between cuts of the lineage: what a lost executor costs at most.
-CUT_EVERY = 5
-
-RANKS = "id long, value double"
+CUT_EVERY = 10
 
 
 def start(graph: Graph, damping: float = DAMPING) -> DataFrame:
@@ -37,14 +36,14 @@ def start(graph: Graph, damping: float = DAMPING) -> DataFrame:
 def messages(graph: Graph, ranks: DataFrame, damping: float = DAMPING) -> DataFrame:
     """What each edge passes on: (src, dst, message), a row for each parallel edge."""
     degree = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    sources = degree.join(ranks, degree["src"] == ranks["id"]).select("src", (F.lit(damping) * F.col("value") / F.col("degree")).alias("message"))
-    return graph.edges.join(sources, "src").select("src", "dst", "message")
+    sources = degree.join(ranks, degree["src"] == ranks["id"]).select("src", "degree", (F.lit(damping) * F.col("value") / F.col("degree")).alias("message"))
+    return join_counted(graph.edges, cut(sources), ["src"], "degree", ["dst"]).select("src", "dst", "message")
 
 
 class Placed(NamedTuple):
     """Links as a loop's rounds want them, kept on the executors, so that no round moves a link.
 
-    With broadcast ranks they lie by destination. Otherwise they lie by source, where the rounds send the ranks;
+    With broadcast ranks they lie evenly, whatever their ends. Otherwise they lie by source, where the rounds send the ranks;
     those of hubs, fewer than twice the number of partitions, lie by destination and get the hubs' ranks by broadcast.
     """
 
@@ -73,12 +72,12 @@ def placed(graph: Graph, plan: str) -> Placed:
     parts = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = graph.links()
     if plan == "broadcast":
-        return Placed(links.repartition(parts, "dst").persist(), None, None, True)
+        return Placed(kept_in_place(links.repartition(parts, "src", "dst")), None, None, True)
     hubs = cut(graph.kept_pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_limit(graph.edges, graph.n_pairs)).select(F.col("src").alias("id")))
     if hubs.isEmpty():
-        return Placed(links.repartition(parts, "src").persist(), None, None, False)
+        return Placed(kept_in_place(links.repartition(parts, "src")), None, None, False)
     own = F.broadcast(hubs.withColumnRenamed("id", "src"))
-    return Placed(links.join(own, "src", "left_anti").repartition(parts, "src").persist(), links.join(own, "src").repartition(parts, "dst").persist(), hubs, False)
+    return Placed(kept_in_place(links.join(own, "src", "left_anti").repartition(parts, "src")), kept_in_place(links.join(own, "src").repartition(parts, "dst")), hubs, False)
 
 
 def step(links: Placed, ranks: DataFrame, damping: float) -> DataFrame:
@@ -87,54 +86,83 @@ def step(links: Placed, ranks: DataFrame, damping: float) -> DataFrame:
     return links.meet(ranks).groupBy("dst").agg(total.alias("new"), F.max(F.when(F.col("own"), F.col("value"))).alias("old")).select(F.col("dst").alias("id"), F.col("new").alias("value"), "old")
 
 
+def opening(value: float):
+    """Every node at one value, and its first messages."""
+
+    def run(block: Block, mail: Mail) -> None:
+        start = np.full(len(block.ids), value)
+        mail.state(a=start)
+        block.send(start, mail)
+
+    return run
+
+
+def updating(damping: float):
+    """A round: new values from the sums received, the greatest change, and the next messages."""
+
+    def run(block: Block, state: Letter, letters: list[Letter], mail: Mail) -> None:
+        value = (1 - damping) + damping * block.received(letters)
+        mail.state(a=value, change=float(np.abs(value - state.a("<f8"))[block.home].max(initial=0)))
+        block.send(value, mail)
+
+    return run
+
+
 def rank_sync(graph: Graph, iterations: int = ROUNDS, damping: float = DAMPING, repeats: int = 1, strategy: str = "auto") -> DataFrame:
     """Ranks (id, value) after `iterations` rounds; `repeats` calls each go on from the last one's values."""
     rounds = iterations * repeats
-    plan = choose(strategy, graph)
-    if plan == "task":
-
-        def loop(links: Links) -> dict[str, np.ndarray]:
-            value = np.full(len(links.ids), damping)
-            for _ in range(rounds):
-                value = (1 - damping) + damping * links.gather(value)
-            return {"id": links.ids, "value": value}
-
-        return cut(run_in_task(graph, loop, RANKS))
-    links, ranks = placed(graph, plan), start(graph, damping)
-    for k in range(1, rounds + 1):
-        ranks = step(links, ranks, damping).select("id", "value")
-        if k % CUT_EVERY == 0 or k == rounds:
-            ranks = cut(ranks)
-    links.release()
-    return ranks
+    plan = choose(strategy)
+    if not rounds:
+        return cut(start(graph, damping))
+    with Rounds(graph.edges.sparkSession) as store:
+        if plan == "blocks":
+            blocks = graph.blocks
+            mail = blocks.begin(opening(damping))
+            for k in range(1, rounds):
+                mail = blocks.turn(mail, updating(damping))
+                if k % CUT_EVERY == 0:
+                    mail, _ = store.keep(mail)
+            return cut(blocks.values(mail, lambda block, state, letters: (1 - damping) + damping * block.received(letters)))
+        links, ranks = placed(graph, plan), start(graph, damping)
+        for k in range(1, rounds):
+            ranks = step(links, ranks, damping).select("id", "value")
+            if k % CUT_EVERY == 0:
+                ranks, _ = store.keep(ranks)
+        ranks = cut(step(links, ranks, damping).select("id", "value"))
+        links.release()
+        return ranks
 
 
 def rank_linf(graph: Graph, tolerance: float = TOLERANCE, damping: float = DAMPING, max_rounds: int = MAX_ROUNDS, strategy: str = "auto", repeats: int = 1) -> DataFrame:
-    """Rounds as in `rank_sync` until no value changes by more than `tolerance`; `repeats` calls each go on from the last one's values."""
-    failure = f"values still change after {max_rounds} rounds"
-    plan = choose(strategy, graph)
-    if plan == "task":
-
-        def loop(links: Links) -> dict[str, np.ndarray]:
-            value = np.full(len(links.ids), damping)
+    """Rounds as in `rank_sync` until no value changes by more than `tolerance`; `repeats` calls each go on from the last one's values.
+
+    The job that writes a round also takes its greatest change."""
+    plan = choose(strategy)
+
+    def settled(k: int, change: float | None) -> bool:
+        if (change or 0) > tolerance and k + 1 == max_rounds:
+            raise RuntimeError(f"values still change after {max_rounds} rounds")
+        return (change or 0) <= tolerance
+
+    if max_rounds < 1:
+        raise ValueError("there must be a round")
+    with Rounds(graph.edges.sparkSession) as store:
+        if plan == "blocks":
+            blocks = graph.blocks
+            mail = blocks.begin(opening(damping))
             for _ in range(repeats):
-                for k in range(max_rounds + 1):
-                    if k == max_rounds:
-                        raise RuntimeError(failure)
-                    old, value = value, (1 - damping) + damping * links.gather(value)
-                    if np.abs(value - old).max(initial=0) <= tolerance:
+                for k in range(max_rounds):
+                    mail, seen = store.keep(blocks.turn(mail, updating(damping)), change=F.max("change"))
+                    if settled(k, seen["change"]):
                         break
-            return {"id": links.ids, "value": value}
-
-        return cut(run_in_task(graph, loop, RANKS))
-    links, ranks = placed(graph, plan), start(graph, damping)
-    for _ in range(repeats):
-        for k in range(max_rounds + 1):
-            if k == max_rounds:
-                raise RuntimeError(failure)
-            both = cut(step(links, ranks, damping))
-            ranks = both.select("id", "value")
-            if (both.agg(F.max(F.abs(F.col("value") - F.col("old"))).alias("d")).first()["d"] or 0) <= tolerance:
-                break
-    links.release()
-    return ranks
+            return cut(blocks.values(mail, lambda block, state, letters: state.a("<f8")))
+        links, ranks = placed(graph, plan), start(graph, damping)
+        for _ in range(repeats):
+            for k in range(max_rounds):
+                both, seen = store.keep(step(links, ranks, damping), change=F.max(F.abs(F.col("value") - F.col("old"))))
+                ranks = both.select("id", "value")
+                if settled(k, seen["change"]):
+                    break
+        ranks = cut(ranks)
+        links.release()
+        return ranks

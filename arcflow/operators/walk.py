@@ -4,153 +4,185 @@ From each node a walk of `length` steps: with probability `damping` to a random
 out-neighbour (parallel edges count each; a node without any stays), else back to the
 source. Every step counts a visit where it ends. A node's value is its visits over
 `length` and the number of replicas.
+
+Walkers travel, the adjacency doesn't: it lies in packed blocks (`plans/blocks.py`), and the
+walkers of a range, of all replicas, move together on its arrays for as many steps as they
+stay in it. Those that leave go to their next range as packed arrays, all in one exchange a
+round. A hub's neighbours lie in several ranges: its walkers go on from the one that holds
+the edge they drew.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcflow.functions.rng import uniform, uniform_steps
+from arcflow.functions.rng import uniform_array
 from arcflow.graph import Graph
 from arcflow.operators.fixed import CUT_EVERY, DAMPING, placed
-from arcflow.operators.layout import running_sums
-from arcflow.plans.arrays import Links, run_in_task
-from arcflow.plans.bounds import WALK_EDGES, choose
+from arcflow.plans.blocks import Block, Layout, Letter, Mail
+from arcflow.plans.bounds import choose
 from arcflow.plans.cut import cut
+from arcflow.plans.rounds import Rounds
 
 LENGTH = 100
 SEED = 42
-#: Steps between cuts of the lineage.
-BLOCK = 10
-#: Neighbours in one row of the adjacency that walks join with.
-ROW = 1024
-#: Walkers in one batch of a task.
-BATCH = 2_000
-
-
-def visits(graph: Graph, length: int = LENGTH, replicas: int = 1, seed: int = SEED, damping: float = DAMPING, strategy: str = "auto") -> DataFrame:
+#: Rounds in one job.
+CHAIN = 10
+#: Kinds of mail: walkers that arrive by a step, and those that go on at another place of a hub.
+ARRIVING, PASSED_ON = 1, 2
+#: A walker's replica and step in one number.
+STEP_BITS = 32
+
+
+class _Walk:
+    """One range's part in a round."""
+
+    def __init__(self, block: Block, layout: Layout, visits: np.ndarray, length: int, seed: int, damping: float) -> None:
+        self.block, self.layout, self.visits, self.length, self.seed, self.damping = block, layout, visits, length, seed, damping
+        self.range = int(np.flatnonzero(layout.labels == block.label)[0])
+        self.order = (block.src.astype(np.int64) << 40) | block.at
+        self.leaving: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def _split(self, node: int) -> tuple[np.ndarray, int]:
+        """First edges of a hub's places, and the range of the first one."""
+        home, last = (int(f(np.array([node]))[0]) for f in (self.layout.homes, self.layout.lasts))
+        return np.concatenate([[0], self.layout.first[home + 1 : last + 1]]), home
+
+    def count(self, nodes: np.ndarray) -> None:
+        self.visits += np.bincount(self.block.places(nodes), minlength=len(self.visits))
+
+    def move(self, source: np.ndarray, cur: np.ndarray, code: np.ndarray) -> None:
+        """Steps of walkers that are here, until each has left or ended."""
+        block, layout = self.block, self.layout
+        hubs = {int(n) for n in block.ids[[0, -1]] if layout.homes(np.array([n]))[0] != layout.lasts(np.array([n]))[0]} if len(block.ids) else set()
+        while True:
+            t = code & ((1 << STEP_BITS) - 1)
+            live = t < self.length
+            if not live.all():
+                source, cur, code, t = source[live], cur[live], code[live], t[live]
+            if not len(cur):
+                return
+            key = (self.seed, code >> STEP_BITS, source, t)
+            follow = uniform_array(*key, 0) < self.damping
+            place = block.places(cur)
+            degree = block.degree[place]
+            edge = np.floor(uniform_array(*key, 1) * degree).astype(np.int64)
+            go = follow & (degree > 0)
+            there = np.full(len(cur), self.range)
+            for hub in hubs:
+                firsts, home = self._split(hub)
+                at = np.flatnonzero(go & (cur == hub))
+                there[at] = home + np.searchsorted(firsts, edge[at], "right") - 1
+            passed = there != self.range
+            if passed.any():
+                self.leaving.append((PASSED_ON, there[passed], source[passed], cur[passed], code[passed]))
+                stay = ~passed
+                source, cur, code, follow, place, edge, go = (x[stay] for x in (source, cur, code, follow, place, edge, go))
+            cur = np.where(follow, cur, source)
+            if go.any():
+                link = np.searchsorted(self.order, (place[go].astype(np.int64) << 40) | edge[go], "right") - 1
+                cur[go] = block.dst[block.tgt[link]]
+            code = code + 1
+            to = layout.homes(cur)
+            here = to == self.range
+            self.leaving.append((ARRIVING, to[~here], source[~here], cur[~here], code[~here]))
+            source, cur, code = source[here], cur[here], code[here]
+            self.count(cur)
+
+    def send(self, mail: Mail) -> None:
+        mail.state(a=self.visits)
+        for kind in (ARRIVING, PASSED_ON):
+            some = [x[1:] for x in self.leaving if x[0] == kind and len(x[1])]
+            if not some:
+                continue
+            to, *walkers = (np.concatenate(x) for x in zip(*some, strict=True))
+            order = np.argsort(to, kind="stable")
+            ranges, first = np.unique(to[order], return_index=True)
+            ends = np.append(first[1:], len(order))
+            for r, a, b in zip(ranges.tolist(), first.tolist(), ends.tolist(), strict=True):
+                part = order[a:b]
+                mail.add(int(self.layout.labels[r]), kind, n=len(part), **{k: x[part] for k, x in zip("abc", walkers, strict=True)})
+
+
+def visits(graph: Graph, length: int = LENGTH, replicas: int = 1, seed: int = SEED, damping: float = DAMPING) -> DataFrame:
     """(id, visits) of every node over all replicas."""
-    plan = choose(strategy, graph, WALK_EDGES)
-    compute = _walk_in_tasks if plan == "task" else _walk_by_joins
-    walkers = graph.nodes.select(F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))).alias("replica"), F.col("id").alias("source"))
-    counted = compute(graph, walkers, length, seed, damping)
-    zero = graph.nodes.select("id", F.lit(0).cast("long").alias("n"))
-    return cut(zero.unionByName(counted).groupBy("id").agg(F.sum("n").alias("visits")))
-
-
-def neighbour_rows(graph: Graph, size: int = ROW) -> DataFrame:
-    """(src, row, nbrs array<struct<id, deg>>): out-neighbours in order, repeated as edges are, with their out-degrees, `size` to a row."""
-    pairs = running_sums(graph.kept_pairs, ["src", "dst"], "n", "at")
-    first = pairs.groupBy("src").agg(F.min("at").alias("first"))
-    degree = graph.kept_pairs.groupBy(F.col("src").alias("dst")).agg(F.sum("n").alias("deg"))
-    named = pairs.join(first, "src").join(degree, "dst", "left")
-    place = F.explode(F.sequence(F.col("at") - F.col("first"), F.col("at") - F.col("first") + F.col("n") - 1)).alias("place")
-    edges = named.select("src", F.struct(F.col("dst").alias("id"), F.coalesce("deg", F.lit(0)).alias("deg")).alias("nbr"), place)
-    rows = edges.groupBy("src", F.floor(F.col("place") / size).alias("row")).agg(F.array_sort(F.collect_list(F.struct("place", "nbr"))).alias("nbrs"))
-    return rows.select("src", "row", F.transform("nbrs", lambda x: x["nbr"]).alias("nbrs"))
-
-
-def _walk_by_joins(graph: Graph, walkers: DataFrame, length: int, seed: int, damping: float, size: int = ROW) -> DataFrame:
-    """All walkers advance in step. A walker knows the degree of its place, so its draw names one row of neighbours, of bounded size,
-    and those at a hub spread over the hub's rows; visits are counted every `BLOCK` steps."""
-    parts = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = neighbour_rows(graph, size).repartition(parts, "src", "row").persist()
-    degree = graph.out_degree().select(F.col("id").alias("source"), F.col("degree").alias("home"))
-    state = walkers.join(degree, "source").select("replica", "source", "home", F.col("source").alias("cur"), F.col("home").alias("deg"))
-    counts = []
-    for first in range(0, length, BLOCK):
-        state = state.withColumn("seen", F.array().cast("array<long>"))
-        for t in range(first, min(first + BLOCK, length)):
-            draw = lambda slot: uniform(seed, F.col("replica"), F.col("source"), t, slot)  # noqa: B023, E731
-            go = F.when(draw("a") < damping, F.when(F.col("deg") > 0, F.floor(draw("b") * F.col("deg"))).otherwise(-1))
-            walking = state.withColumn("k", go).withColumn("row", F.floor(F.col("k") / size))
-            joined = walking.join(rows, (walking["cur"] == rows["src"]) & (walking["row"] == rows["row"]), "left")
-            to = F.get("nbrs", (F.col("k") % size).cast("int"))
-            move = lambda home, stay, there: F.when(F.col("k").isNull(), F.col(home)).when(F.col("k") < 0, F.col(stay)).otherwise(there)
-            state = joined.select("replica", "source", "home", move("source", "cur", to["id"]).alias("cur"), move("home", "deg", to["deg"]).alias("deg"), "seen")
-            state = state.withColumn("seen", F.concat("seen", F.array("cur")))
-        block = cut(state)
-        counts.append(cut(block.select(F.explode("seen").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))))
-        state = block.drop("seen")
-    rows.unpersist()
-    return reduce(DataFrame.unionByName, counts)
-
-
-def _walk_in_tasks(graph: Graph, walkers: DataFrame, length: int, seed: int, damping: float) -> DataFrame:
-    """Each task walks its walkers together over the broadcast adjacency, whose size was checked, and counts their visits."""
-    rows = graph.kept_pairs.toArrow()
-    src, dst, n = (rows.column(c).to_numpy() for c in ("src", "dst", "n"))
-    order = np.lexsort((dst, src))
-    src, dst, n = src[order], dst[order], n[order]
-    ids = np.unique(np.concatenate([src, dst]))
-    edges = np.bincount(np.searchsorted(ids, src), n, len(ids)).astype(np.int64)
-    shared = graph.edges.sparkSession.sparkContext.broadcast((ids, edges, np.searchsorted(ids, dst).astype(np.int32), None if (n == 1).all() else np.cumsum(n)))
-
-    def walk(sources: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        ids, degree, targets, ends = shared.value
-        first = np.cumsum(degree) - degree
-        # Sources that no edge names have a place of their own, after the others.
-        names, home = np.unique(np.concatenate([ids, sources]), return_inverse=True) if len(sources) else (ids, np.arange(len(ids)))
-        place, home = home[: len(ids)], home[len(ids) :]
-        old = np.full(len(names), -1)
-        old[place] = np.arange(len(ids))
-        cur, seen = home, np.empty((length, len(home)), np.int64)
-        for t in range(length):
-            at = old[cur]
-            deg = np.where(at >= 0, degree[at], 0)
-            edge = first[at] + np.floor(b[:, t] * deg).astype(np.int64)
-            edge = np.where(deg > 0, edge, 0)
-            pick = edge if ends is None else np.searchsorted(ends, edge, "right")
-            on = np.where(deg > 0, place[targets[pick]], cur) if len(targets) else cur
-            seen[t] = cur = np.where(a[:, t] < damping, on, home)
-        counts = np.bincount(seen.ravel(), minlength=len(names))
-        some = np.flatnonzero(counts)
-        return pa.RecordBatch.from_pydict({"id": names[some], "n": counts[some]})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, BATCH):
-                replicas, sources = (whole.slice(k, BATCH).column(c).to_numpy() for c in ("replica", "source"))
-                drawn = uniform_steps(seed, replicas, sources, length, "ab")
-                yield walk(sources, drawn[:, :, 0], drawn[:, :, 1])
-
-    parts = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return walkers.repartition(parts, "source").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
-def rank_monte_carlo(graph: Graph, length: int = LENGTH, replicas: int = 1, seed: int = SEED, damping: float = DAMPING, strategy: str = "auto") -> DataFrame:
+    spark = graph.edges.sparkSession
+    blocks = graph.blocks.for_walks()
+    shared = spark.sparkContext.broadcast(tuple(blocks.layout))
+
+    def seeded(block: Block, mail: Mail) -> None:
+        home = block.ids[block.home]
+        walk = _Walk(block, Layout(*shared.value), np.zeros(len(block.ids), np.int64), length, seed, damping)
+        source = np.tile(home, replicas)
+        walk.move(source, source, np.repeat(np.arange(replicas, dtype=np.int64), len(home)) << STEP_BITS)
+        walk.send(mail)
+
+    def turn(block: Block, state: Letter, letters: list[Letter], mail: Mail) -> None:
+        walk = _Walk(block, Layout(*shared.value), state.a("<i8").copy(), length, seed, damping)
+        for letter in letters:
+            if letter.kind == ARRIVING:
+                walk.count(letter.b("<i8"))
+        if letters:
+            walk.move(*(np.concatenate([getattr(x, k)("<i8") for x in letters]) for k in "abc"))
+        walk.send(mail)
+
+    with Rounds(spark) as store:
+        mail = blocks.begin(seeded)
+        while True:
+            for _ in range(CHAIN):
+                mail = blocks.turn(mail, turn)
+            mail, seen = store.keep(mail, walking=F.sum("n"))
+            if not seen["walking"]:
+                break
+        return cut(blocks.values(mail, lambda block, state, letters: state.a("<i8"), "long").withColumnRenamed("value", "visits"))
+
+
+def rank_monte_carlo(graph: Graph, length: int = LENGTH, replicas: int = 1, seed: int = SEED, damping: float = DAMPING) -> DataFrame:
     """Ranks (id, value): mean visits per step and replica; they add up to the number of nodes."""
-    return visits(graph, length, replicas, seed, damping, strategy).select("id", (F.col("visits") / F.lit(float(length * replicas))).alias("value"))
+    return visits(graph, length, replicas, seed, damping).select("id", (F.col("visits") / F.lit(float(length * replicas))).alias("value"))
+
+
+def _expecting(block: Block, mail: Mail) -> None:
+    ones = np.ones(len(block.ids))
+    mail.state(a=ones, b=np.zeros(len(ones)))
+    block.send(ones, mail)
 
 
 def rank_expected(graph: Graph, length: int = LENGTH, damping: float = DAMPING, strategy: str = "auto") -> DataFrame:
     """The expectation of `rank_monte_carlo`: the mean of rounds 1 to `length` from 1, nodes without out-edges passing to themselves."""
-    plan = choose(strategy, graph)
-    if plan == "task":
-
-        def loop(links: Links) -> dict[str, np.ndarray]:
-            value, total = np.ones(len(links.ids)), np.zeros(len(links.ids))
-            for _ in range(length):
-                value = (1 - damping) + damping * (links.gather(value) + np.where(links.degree == 0, value, 0))
-                total += value
-            return {"id": links.ids, "value": total / length}
-
-        return cut(run_in_task(graph, loop, "id long, value double"))
-    stuck = graph.out_degree().where("degree = 0").select("id")
-    whole = Graph(graph.edges.unionByName(stuck.select(F.col("id").alias("src"), F.col("id").alias("dst"))), graph.nodes)
-    links, state = placed(whole, plan), whole.nodes.select("id", F.lit(1.0).alias("value"), F.lit(0.0).alias("total"))
-    new = F.lit(1 - damping) + F.lit(damping) * F.sum(F.col("value") * F.col("weight"))
-    for k in range(1, length + 1):
-        # What is summed so far goes along with the ranks.
-        state = links.meet(state).groupBy("dst").agg(new.alias("value"), (F.max(F.when(F.col("own"), F.col("total"))) + new).alias("total")).withColumnRenamed("dst", "id")
-        if k % CUT_EVERY == 0 or k == length:
-            state = cut(state)
-    links.release()
-    whole.release()
-    return state.select("id", (F.col("total") / length).alias("value"))
+    plan = choose(strategy)
+
+    def summed(block: Block, state: Letter, letters: list[Letter]) -> tuple[np.ndarray, np.ndarray]:
+        old = state.a("<f8")
+        value = (1 - damping) + damping * (block.received(letters) + np.where(block.degree == 0, old, 0))
+        return value, state.b("<f8") + value
+
+    def turn(block: Block, state: Letter, letters: list[Letter], mail: Mail) -> None:
+        value, total = summed(block, state, letters)
+        mail.state(a=value, b=total)
+        block.send(value, mail)
+
+    with Rounds(graph.edges.sparkSession) as store:
+        if plan == "blocks":
+            blocks = graph.blocks
+            mail = blocks.begin(_expecting)
+            for k in range(1, length):
+                mail = blocks.turn(mail, turn)
+                if k % CUT_EVERY == 0:
+                    mail, _ = store.keep(mail)
+            return cut(blocks.values(mail, lambda block, state, letters: summed(block, state, letters)[1] / length))
+        stuck = graph.out_degree().where("degree = 0").select("id")
+        whole = Graph(graph.edges.unionByName(stuck.select(F.col("id").alias("src"), F.col("id").alias("dst"))), graph.nodes)
+        links, state = placed(whole, plan), whole.nodes.select("id", F.lit(1.0).alias("value"), F.lit(0.0).alias("total"))
+        new = F.lit(1 - damping) + F.lit(damping) * F.sum(F.col("value") * F.col("weight"))
+        for k in range(1, length + 1):
+            # What is summed so far goes along with the ranks.
+            state = links.meet(state).groupBy("dst").agg(new.alias("value"), (F.max(F.when(F.col("own"), F.col("total"))) + new).alias("total")).withColumnRenamed("dst", "id")
+            if k % CUT_EVERY == 0 and k < length:
+                state, _ = store.keep(state)
+        ranks = cut(state.select("id", (F.col("total") / length).alias("value")))
+        links.release()
+        whole.release()
+        return ranks

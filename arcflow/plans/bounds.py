@@ -1,25 +1,12 @@
-"""Measured sizes that decide between physical strategies."""
+"""Physical strategies of loops."""
 
 from __future__ import annotations
 
-from arcflow.graph import Graph
+STRATEGIES = ("auto", "blocks", "broadcast", "shuffle")
 
-#: Nodes whose ranks may be broadcast: 16 bytes each.
-BROADCAST_NODES = 4_000_000
-#: Distinct edges that one task may hold in arrays: 24 bytes each, and as much again while it works.
-TASK_EDGES = 10_000_000
-#: Distinct edges that may be broadcast to walks: 8 bytes each, 24 on their way over the driver.
-WALK_EDGES = 4_000_000
 
-STRATEGIES = ("auto", "task", "broadcast", "shuffle")
-
-
-def choose(strategy: str, graph: Graph, task_edges: int = TASK_EDGES) -> str:
-    """`task`: the whole loop in one task; `broadcast`: ranks sent to edges kept by destination; `shuffle`: both sides by key."""
+def choose(strategy: str) -> str:
+    """`blocks`: packed blocks that stay in place, whatever the graph's size (`auto` too); as joins of rows, `broadcast`: ranks are sent to all links; `shuffle`: both sides by key."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
-    if strategy != "auto":
-        return strategy
-    if graph.n_pairs <= task_edges:
-        return "task"
-    return "broadcast" if graph.n_nodes <= BROADCAST_NODES else "shuffle"
+    return "blocks" if strategy == "auto" else strategy

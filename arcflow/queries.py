@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcflow import views
+from arcflow.functions.rng import uniform_sql
 from arcflow.graph import Graph
 from arcflow.operators import active, fixed, layout, walk
 from arcflow.plans.cut import ensure_folder
@@ -103,7 +104,7 @@ def queries() -> dict[str, Query]:
         "async_part_chain": _over("part_chain", lambda g: _rounded(active.rank_async(g))),
         "async_cust_supp": _over("cust_supp", lambda g: _rounded(active.rank_async(g))),
         "async_repeat10_nation_trade": _over("nation_trade", lambda g: _rounded(active.rank_async(g, repeats=10))),
-        "async_active_counts": _over("part_chain", lambda g: active.settle(g).counts),
+        "async_active_counts": _over("part_chain", lambda g: active.settle(g).counts.select("round", "active")),
         "frontier_positions": _over("part_chain", active.frontier_positions),
         "mc_event_type_flow": _over("event_type_flow", lambda g: _rounded(walk.rank_monte_carlo(g))),
         "mc_part_chain": _over("part_chain", lambda g: _rounded(walk.rank_monte_carlo(g))),
@@ -111,14 +112,14 @@ def queries() -> dict[str, Query]:
         "mc_replicas3_nation_trade": _over("nation_trade", lambda g: _rounded(walk.rank_monte_carlo(g, replicas=3))),
         "mc_expected_part_chain": _over("part_chain", lambda g: _rounded(walk.rank_expected(g))),
         "mc_expected_cust_supp": _over("cust_supp", lambda g: _rounded(walk.rank_expected(g))),
-        # The plans of graphs too large for one task.
+        # The same by joins of rows.
         "sync_broadcast_part_chain": _over("part_chain", lambda g: _rounded(fixed.rank_sync(g, strategy="broadcast"))),
         "sync_shuffle_part_chain": _over("part_chain", lambda g: _rounded(fixed.rank_sync(g, strategy="shuffle"))),
         "linf_shuffle_part_chain": _over("part_chain", lambda g: _rounded(fixed.rank_linf(g, strategy="shuffle"))),
         "async_broadcast_part_chain": _over("part_chain", lambda g: _rounded(active.rank_async(g, strategy="broadcast"))),
         "async_shuffle_part_chain": _over("part_chain", lambda g: _rounded(active.rank_async(g, strategy="shuffle"))),
-        "mc_lockstep_part_chain": _over("part_chain", lambda g: _rounded(walk.rank_monte_carlo(g, length=30, strategy="shuffle"))),
-        "mc_expected_shuffle_cust_supp": _over("cust_supp", lambda g: _rounded(walk.rank_expected(g, length=20, strategy="shuffle"))),
+        "mc_lockstep_part_chain": _over("part_chain", lambda g: _rounded(walk.rank_monte_carlo(g))),
+        "mc_expected_shuffle_cust_supp": _over("cust_supp", lambda g: _rounded(walk.rank_expected(g, strategy="shuffle"))),
         "coo_roundtrip": _coo_roundtrip,
         "text_roundtrip": _text_roundtrip,
         "parquet_roundtrip": _parquet_roundtrip,
@@ -160,11 +161,11 @@ def _async_sql(view: str, repeats: int = 1, tail: str = "select id, round(v, 9)
 
 
 def _walk_sql(view: str, replicas: int = 1, length: int = 100) -> str:
-    draw = "(('0x' || substr(md5(concat_ws(':', 42, r, source, t, '{slot}')), 1, 12))::ubigint::double / 281474976710656.0)"
+    draw = lambda slot: uniform_sql(42, "r", "source", "t", slot)
     return (
         _prelude(view)
         + ", adj as materialized (select src, list(dst order by dst) nbrs, count(*) d from edges group by src)"
-        + f", wk(t, r, source, cur) as (select 0, r, id, id from nodes, range({replicas}) x(r) union all select t + 1, r, source, case when {draw.format(slot='a')} < 0.85 then coalesce(nbrs[floor({draw.format(slot='b')} * d)::bigint + 1], cur) else source end from wk left join adj on adj.src = wk.cur where t < {length})"
+        + f", wk(t, r, source, cur) as (select 0, r, id, id from nodes, range({replicas}) x(r) union all select t + 1, r, source, case when {draw(0)} < 0.85 then coalesce(nbrs[floor({draw(1)} * d)::bigint + 1], cur) else source end from wk left join adj on adj.src = wk.cur where t < {length})"
         + f" select id, round(count(t)::double / {length * replicas}, 9) as value from nodes left join (select * from wk where t > 0) on cur = id group by id"
     )
 
@@ -214,8 +215,8 @@ def oracle_sql() -> dict[str, str]:
         "linf_shuffle_part_chain": _linf_sql("part_chain"),
         "async_broadcast_part_chain": _async_sql("part_chain"),
         "async_shuffle_part_chain": _async_sql("part_chain"),
-        "mc_lockstep_part_chain": _walk_sql("part_chain", length=30),
-        "mc_expected_shuffle_cust_supp": _expected_sql("cust_supp", 20),
+        "mc_lockstep_part_chain": _walk_sql("part_chain"),
+        "mc_expected_shuffle_cust_supp": _expected_sql("cust_supp"),
         "coo_roundtrip": _prelude("part_chain") + " select src, dst from edges",
         "text_roundtrip": _prelude("part_chain") + ", dense as (select id as raw, row_number() over (order by id) - 1 as id from nodes) select a.id::bigint as src, b.id::bigint as dst from edges join dense a on a.raw = src join dense b on b.raw = dst",
         "parquet_roundtrip": _prelude("part_chain") + " select src, dst from edges",
