@@ -44,8 +44,9 @@ SAMPLE = 20_000
 STEPS = 250
 #: Share of the rows that terms of pairs have.
 PAIR_SHARE = 0.01
-#: Terms whose pairs are counted together.
-PAIR_BLOCK = 1024
+#: Terms whose pairs are counted together, and rows taken together, so that the driver holds little beside the sample's terms.
+PAIR_BLOCK = 256
+ROWS = 1000
 PENALTY = 2e-3
 
 _APART = NORMAL == 0x20
@@ -102,25 +103,44 @@ def frequent_terms(every: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(every >= max(10, PAIR_SHARE * n))
 
 
+def _pieces(place: np.ndarray, found: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of some rows at a time: the first, and places of their terms with the rows, from it on, that have them; terms without a place are left out."""
+    for first in range(0, len(offsets) - 1, ROWS):
+        ends = offsets[first : first + ROWS + 1]
+        at = place[found[ends[0] : ends[-1]]]
+        owner = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
+        yield first, at[at >= 0], owner[at >= 0]
+
+
 def telling_pairs(found: np.ndarray, offsets: np.ndarray, error: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Buckets of `of` in pairs whose rows' errors add up to more than chance gives the greatest of all pairs; rows with the same terms count once."""
     place = np.full(1 << BITS, -1, np.int32)
     place[of] = np.arange(len(of))
-    at, owner = place[found], np.repeat(np.arange(len(error)), np.diff(offsets))
-    at, owner = at[at >= 0], owner[at >= 0]
-    whole = np.bincount(owner, mix(at.astype(np.uint64), 5).astype(np.float64), len(error))
+    whole, kept = np.zeros(len(error)), []
+    for first, at, owner in _pieces(place, found, offsets):
+        whole[first : first + ROWS] = np.bincount(owner, mix(at.astype(np.uint64), 5).astype(np.float64), min(ROWS, len(error) - first))
     _, single = np.unique(np.stack([whole, error.round(6)]), axis=1, return_index=True)
-    row = np.full(len(error), -1)
+    row = np.full(len(error), -1, np.int32)
     row[single] = np.arange(len(single))
-    at, owner = at[row[owner] >= 0], row[owner[row[owner] >= 0]]
+    for first, at, owner in _pieces(place, found, offsets):
+        owner = row[first + owner]
+        kept.append((at[owner >= 0], owner[owner >= 0]))
+    at, owner = (np.concatenate(x) for x in zip(*kept, strict=True))
+    del kept
+    rows = owner[np.argsort(at, kind="stable")]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(of)))])
+    del at, owner
     error = error[single].astype(np.float32)
     limit = np.sqrt(2 * np.log(max(2, len(of) * (len(of) - 1) / 2))) + 1
     told = np.zeros(len(of), bool)
+    sums = np.concatenate([[0], np.cumsum(error[rows], dtype=np.float64)])
+    own = ((sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(np.diff(ends), 1)).astype(np.float32)
+    mean = error.mean()
 
     def block(first: int) -> np.ndarray:
-        out = np.zeros((len(error), min(PAIR_BLOCK, len(of) - first)), np.float32)
-        own = (at >= first) & (at < first + PAIR_BLOCK)
-        out[owner[own], at[own] - first] = 1
+        last = min(first + PAIR_BLOCK, len(of))
+        out = np.zeros((len(error), last - first), np.float32)
+        out[rows[ends[first] : ends[last]], np.repeat(np.arange(last - first), np.diff(ends[first : last + 1]))] = 1
         return out
 
     for a in range(0, len(of), PAIR_BLOCK):
@@ -128,7 +148,9 @@ def telling_pairs(found: np.ndarray, offsets: np.ndarray, error: np.ndarray, of:
         off, spread = left * error[:, None], left * error[:, None] ** 2
         for b in range(a, len(of), PAIR_BLOCK):
             right = left if a == b else block(b)
-            z = np.abs(off.T @ right) / np.sqrt(np.maximum(spread.T @ right, 1.0))
+            # What the two terms' own rows are off by is not the pair's.
+            alone = own[a : a + left.shape[1], None] + own[None, b : b + right.shape[1]] - mean
+            z = np.abs(off.T @ right - (left.T @ right) * alone) / np.sqrt(np.maximum(spread.T @ right, 1.0))
             if a == b:
                 np.fill_diagonal(z, 0)
             one, other = np.nonzero(z > limit)
@@ -143,12 +165,12 @@ def fit(found: np.ndarray, offsets: np.ndarray, labels: np.ndarray, n_terms: int
         mean = float(labels.mean()) if n else 0.0
         bias = np.log(mean / (1 - mean)) if 0 < mean < 1 else (40.0 if mean else -40.0)
         return Model(float(bias), np.full(1 << BITS, -1, np.int32), np.empty(0, np.float32), np.empty((0, n_factors), np.float32))
-    owner = np.repeat(np.arange(n), np.diff(offsets))
-    ones = np.bincount(found[toxic[owner]], minlength=1 << BITS)
+    ones = np.bincount(found[np.repeat(toxic, np.diff(offsets))], minlength=1 << BITS)
     every = np.bincount(found, minlength=1 << BITS)
     chosen = telling_terms(ones, every, n, int(toxic.sum()), n_terms)
     model = _fit_terms(found, offsets, labels, chosen, n_factors, steps, penalty)
-    pairs = telling_pairs(found, offsets, labels - model.scores(found, offsets), frequent_terms(every, n))
+    scores = np.concatenate([model.scores(found[offsets[k] : offsets[min(k + ROWS, n)]], offsets[k : k + ROWS + 1] - offsets[k]) for k in range(0, n, ROWS)])
+    pairs = telling_pairs(found, offsets, labels - scores, frequent_terms(every, n))
     more = np.union1d(chosen, pairs)
     return model if len(more) == len(chosen) else _fit_terms(found, offsets, labels, more, n_factors, steps, penalty)
 
@@ -156,9 +178,9 @@ def fit(found: np.ndarray, offsets: np.ndarray, labels: np.ndarray, n_terms: int
 def _fit_terms(found: np.ndarray, offsets: np.ndarray, labels: np.ndarray, chosen: np.ndarray, n_factors: int, steps: int, penalty: float) -> Model:
     n, place = len(labels), np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    at, owner = place[found], np.repeat(np.arange(n), np.diff(offsets))
     x = np.zeros((n, len(chosen)), np.float32)
-    x[owner[at >= 0], at[at >= 0]] = 1
+    for first, at, owner in _pieces(place, found, offsets):
+        x[first + owner, at] = 1
     y = labels.astype(np.float32)
     rng = np.random.default_rng(7)
     mean = y.mean()
