@@ -5,7 +5,8 @@ any spread unless their texts are equal, too. What a part needs to know about ma
 (how often a window occurs, what an n-gram counts) it asks of the ranges of the key
 space, as packed arrays, and each range answers the parts that asked. A key is sent once
 for each part that has it, however often it occurs there, so hot keys weigh no more than
-others; nothing is broadcast, and every shuffle is linear in the input.
+others; nothing is broadcast, and what is sent is linear in the input. It is sent as a pack from
+each part to each range, so packs grow with the square of the parts.
 
 Rows between stages are (dest int, kind int, data binary). `data` is a compressed pack
 of arrays, integers as byte planes.

@@ -22,8 +22,9 @@ a repeated row (same id and text) is judged like the row it repeats; of differen
 with one id, that with the smaller hash comes first; a null id comes before all others;
 an empty table gives an empty table; columns other than the named and carried are ignored.
 
-Scale: every shuffle is linear in the input (see `exchange`): the sketches of chosen places,
-the estimated windows, and the packed texts twice. Hot windows are one entry for each part;
+Scale: what every shuffle sends is linear in the input, in packs whose number grows with the
+square of the parts (see `exchange`): the sketches of chosen places, the estimated windows,
+and the packed texts twice. There may be 2^20 - 2 parts at most. Hot windows are one entry for each part;
 copies of one text are salted where they meet their first (see `join_counted`).
 The sketch grows with the text up to 2^`MOST_BITS` cells; from then on more windows are
 estimated repeated than are, and are grouped exactly all the same.
