@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,8 @@ from arcflow import views
 from arcflow.functions.rng import uniform_sql
 from arcflow.graph import Graph
 from arcflow.operators import active, fixed, layout, walk
-from arcflow.plans.cut import ensure_folder
+from arcflow.plans.cut import cut
+from arcflow.plans.rounds import delete, shared_folder
 from arcflow.sources import coo
 from arcflow.sources import edges as edge_source
 
@@ -56,32 +56,40 @@ def _messages(graph: Graph) -> DataFrame:
     return fixed.messages(graph, fixed.start(graph)).select("src", "dst", F.round("message", 9).alias("message"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new place in the folder that all executors share."""
-    ensure_folder(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/edges-{uuid.uuid4().hex}"
+def _there_and_back(spark: SparkSession, write_and_read: Callable[[str], DataFrame]) -> DataFrame:
+    """What is read of a new place in the shared folder, which goes once the rows are written."""
+    path = shared_folder(spark, "edges")
+    try:
+        return cut(write_and_read(path))
+    finally:
+        delete(spark, path)
 
 
 def _coo_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges written to a binary file and read again."""
-    found, path = graph_of(spark, sf_dir, "part_chain").edges, _folder(spark)
-    total = coo.write_coo(found, path)
-    return coo.read_coo(spark, path, total)
+    found = graph_of(spark, sf_dir, "part_chain").edges
+    return _there_and_back(spark, lambda path: coo.read_coo(spark, path, coo.write_coo(found, path)))
 
 
 def _text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges written as text and read again, with dense ids."""
-    path = _folder(spark)
-    edge_source.write_edge_text(graph_of(spark, sf_dir, "part_chain").edges, path)
-    found = edge_source.read_edge_text(spark, path)
-    return edge_source.remap(found, edge_source.dense_ids(found))
+
+    def run(path: str) -> DataFrame:
+        edge_source.write_edge_text(graph_of(spark, sf_dir, "part_chain").edges, path)
+        found = edge_source.read_edge_text(spark, path)
+        return edge_source.remap(found, edge_source.dense_ids(found))
+
+    return _there_and_back(spark, run)
 
 
 def _parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges written by destination and read again."""
-    path = _folder(spark)
-    edge_source.write_edge_parquet(graph_of(spark, sf_dir, "part_chain").edges, path)
-    return edge_source.read_edge_parquet(spark, path)
+
+    def run(path: str) -> DataFrame:
+        edge_source.write_edge_parquet(graph_of(spark, sf_dir, "part_chain").edges, path)
+        return edge_source.read_edge_parquet(spark, path)
+
+    return _there_and_back(spark, run)
 
 
 def queries() -> dict[str, Query]:
