@@ -1,14 +1,13 @@
 """What ranges send to each other, and how many ranges there are."""
 
-import os
 import random
-import time
 
 import numpy as np
 import pytest
 
 from arcflow.graph import Graph
-from arcflow.operators import fixed
+from arcflow.operators import fixed, walk
+from arcflow.plans import bounds
 from arcflow.plans.blocks import Block, Letter, Mail, packed_ids, planes, unpacked_ids, unplaned
 
 
@@ -48,3 +47,32 @@ def test_no_more_ranges_than_cores(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert "kept_pairs" not in g.__dict__
     g.release()
+
+
+def test_joins_of_rows_are_for_small_graphs(spark, monkeypatch):
+    """Beyond the bounds the same ranks come from packed blocks, or from joins that send nothing to the driver."""
+    g = Graph(spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3)], "src long, dst long"))
+    assert [bounds.choose(s, g) for s in bounds.STRATEGIES] == ["blocks", "blocks", "broadcast", "shuffle"]
+    want = sorted(map(tuple, fixed.rank_sync(g, 3, strategy="shuffle").collect()))
+    monkeypatch.setattr(bounds, "SENT_NODES", 3)
+    assert bounds.choose("broadcast", g) == "shuffle"
+    monkeypatch.setattr(bounds, "JOINED_LINKS", 3)
+    assert [bounds.choose(s, g) for s in ("broadcast", "shuffle")] == ["blocks"] * 2
+    monkeypatch.setattr(fixed, "placed", None)  # not used any more
+    got = sorted(map(tuple, fixed.rank_sync(g, 3, strategy="shuffle").collect()))
+    assert [i for i, _ in got] == [i for i, _ in want] and [v for _, v in got] == pytest.approx([v for _, v in want], abs=1e-12)
+    g.release()
+
+
+def test_rounds_with_hubs_are_not_chained(spark, monkeypatch):
+    """With hubs a plan of several rounds would double with each."""
+    n = 60
+    g = Graph(spark.createDataFrame([(0, k) for k in range(1, n)] + [(k, (k + 1) % n) for k in range(n)], "src long, dst long"))
+    kept = []
+    keep = fixed.Rounds.keep
+    monkeypatch.setattr(fixed.Rounds, "keep", lambda self, rows, **m: kept.append(1) or keep(self, rows, **m))
+    fixed.rank_sync(g, 4, strategy="shuffle")
+    assert len(kept) == 3
+    walk.rank_expected(g, 3, strategy="shuffle")
+    assert len(kept) == 5
+    g.release()
