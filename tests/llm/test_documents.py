@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 from cases import WORD, lower, prose, table
 from pyspark.sql import functions as F
 
-from arcflow.llm import components, decontaminate, katz, neardup, substrings
+from arcflow.llm import components, decontaminate, exchange, katz, neardup, substrings
 
 
 def plain_sets(rows):
@@ -192,3 +193,23 @@ def test_language_model_cases(spark):
     for seen in ([0] * 7, [0, 5, 0, 1, 0, 0, 0], [0, 9, 4, 2, 1, 1, 1], [0, 100, 1, 50, 1, 60, 1]):
         d = katz.discounts(np.array(seen))[1:]
         assert ((d > 0) & (d < 1)).all()
+
+
+def test_language_model_part_in_little_memory(monkeypatch):
+    """What a part takes at once is bounded by its tokens and pairs, and pieces don't change what it holds."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(katz, "PIECE", 1 << 14, raising=False)
+    monkeypatch.setattr(katz, "SLICE_BYTES", 1 << 17)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 1000) % 3000).encode() for _ in range(400)]
+    data = exchange.pack(np.arange(400), np.arange(400), np.arange(400, dtype=np.uint8) % 2, np.array([len(x) for x in texts]), b"".join(texts))
+    tracemalloc.start()
+    t = katz.read_part([data])
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = len(t.token)
+    assert n == 401 * 1000 - 1000 + 400 and used < 40 * n
+    assert (t.words[t.token[t.bounds[1:] - 1]] == katz.END).all() and (np.diff(t.words.astype(object)) > 0).all()
+    inner = np.flatnonzero(t.pair >= 0)
+    assert len(inner) == n - 400 and (t.pair[t.bounds[:-1]] == -1).all()
+    key = t.token.astype(np.int64)[inner] * len(t.words) + t.token[inner - 1]
+    assert (t.pairs[t.pair[inner]] == key).all() and (t.pairs == np.unique(key)).all()
