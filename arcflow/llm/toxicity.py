@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcflow.llm.words import LOWER, NORMAL, buffers, hash_words, mix, slices, split
-from arcflow.plans.cut import cut
+from arcflow.plans.cut import collect_garbage, cut
 
 BITS = 18
 TERMS = 1024
@@ -232,6 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     lists = got.column("found").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+    collect_garbage(docs.sparkSession, now=True)  # the driver's Python needs memory next
     return fit(flat, offsets - offsets[0], got.column("label").to_numpy())
 
 

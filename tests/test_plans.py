@@ -3,8 +3,10 @@
 import os
 import random
 import statistics
+from unittest.mock import MagicMock
 
 import pytest
+from py4j.protocol import Py4JError
 from pyspark.sql import functions as F
 
 from arcflow.functions.rng import uniform_array
@@ -268,3 +270,21 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         cut.ensure_folder(Session())
+
+
+def test_driver_gives_memory_back(spark, monkeypatch):
+    """Garbage is collected and freed native memory returned at once if asked, else some seconds apart; a JVM that can't return it is no error."""
+    assert "Trim native heap" in cut.trim_memory(spark)
+    trims = []
+    monkeypatch.setattr(cut, "trim_memory", trims.append)
+    bean = MagicMock()
+    cut.collect_garbage(bean, now=True)
+    cut.collect_garbage(bean)
+    assert trims == [bean] and bean.sparkContext._jvm.System.gc.call_count == 1
+
+    def refuse(_):
+        raise Py4JError("no such command")
+
+    monkeypatch.setattr(cut, "trim_memory", refuse)
+    cut.collect_garbage(bean, now=True)
+    assert bean.sparkContext._jvm.System.gc.call_count == 2
