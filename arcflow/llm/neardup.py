@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from arcflow.llm.components import connected_components
 from arcflow.llm.words import LOWER, Words, buffers, hash_windows, hash_words, mix, slices, split, window_rows
-from arcflow.plans.cut import cut
+from arcflow.plans.cut import cut, few
 from arcflow.plans.spread import join_counted
 
 SHINGLE = 5
@@ -64,6 +64,8 @@ SPREAD = 4
 CELLS = 1 << 16
 #: Ids with several texts that may be broadcast, of 9 bytes each.
 FEW_IDS = 1_000_000
+#: Rows with a text or signature for each task, and rows of bucket keys, at least.
+TEXT_ROWS, KEY_ROWS = 1_000, 50_000
 #: Least place of documents without an id of their own.
 NAMELESS = 1 << 62
 
@@ -236,11 +238,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         rows = given.select(F.col("own").alias("id"), "own", "text_hash", "text")
     base = cut(signatures(rows))
+    total = base.count()
     some = base.where("n > 0 and id is not null")
     # A class's text is that of its first row: an id may have other texts, too.
     first = F.min(F.struct("id", "text_hash")).alias("first")
-    classes = cut(some.groupBy("s1", "s2").agg(first, F.first("signature").alias("signature"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows")).select("s1", "s2", "first.*", "signature", "keys", "rows"))
-    links = _candidate_links(classes, rows)
+    classes = some.groupBy("s1", "s2").agg(first, F.first("signature").alias("signature"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows")).select("s1", "s2", "first.*", "signature", "keys", "rows")
+    classes = cut(few(classes, total, TEXT_ROWS))
+    links = _candidate_links(classes, rows, total)
     # Rows that share an id are linked, and each class with its first.
     shared = some.groupBy("id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("id")
     members = some.select("id", "s1", "s2").join(shared, "id", "left_semi")
@@ -248,41 +252,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     components = connected_components(links.union(own))
     of_class = classes.select("s1", "s2", "rows", F.col("id").alias("node")).join(components, "node", "left").select("s1", "s2", "rows", F.coalesce("component", "node").alias("component"))
     rest = base.where("n = 0 or id is null").select("id", "own", "text_hash", "n", F.col("id").alias("component"))
-    found = join_counted(some.select("id", "own", "text_hash", "n", "s1", "s2"), cut(of_class.select("s1", "s2", "rows", "component")), ["s1", "s2"], "rows", ["id", "text_hash"]).select("id", "own", "text_hash", "n", "component")
+    found = join_counted(some.select("id", "own", "text_hash", "n", "s1", "s2"), cut(few(of_class.select("s1", "s2", "rows", "component"), total)), ["s1", "s2"], "rows", ["id", "text_hash"]).select("id", "own", "text_hash", "n", "component")
     out = found.union(rest).distinct()
     kept = F.coalesce(F.col("component") == F.col("id"), F.lit(False))
     named = F.when(F.col("component") < NAMELESS, F.col("component")) if rows_apart else F.col("component")
     return out.select(F.col("own").alias(id_col), "text_hash", F.col("n").alias("n_shingles"), named.alias("component_id"), kept.alias("kept"))
 
 
-def _buckets(keyed: DataFrame, only: str = "true") -> DataFrame:
-    """(key, id, core, first, n) of keys with several members, of which some satisfy the aggregate condition `only`."""
-    keys = cut(keyed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.expr(only).alias("wanted")).where("n > 1 and wanted").drop("wanted"))
-    return cut(join_counted(keyed, keys, ["key"], "n", ["id"]).select("key", "id", "core", "first", "n"))
+def _buckets(keyed: DataFrame, rows: int, only: str = "true") -> DataFrame:
+    """(key, id, core, first, n) of keys with several members, of which some satisfy the aggregate condition `only`; `keyed` has at most `rows`."""
+    keys = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.expr(only).alias("wanted")).where("n > 1 and wanted").drop("wanted")
+    keys = cut(few(keys, rows, KEY_ROWS))
+    return cut(few(join_counted(keyed, keys, ["key"], "n", ["id"]).select("key", "id", "core", "first", "n"), rows, KEY_ROWS))
 
 
 def _blocks(n: str, size: str) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES)).cast("int")
 
 
-def _groups(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(g, id, core, head, blocks): clusters of buckets or, where those have more pairs than their buckets together, each bucket."""
+def _groups(members: DataFrame, texts: DataFrame, total: int, rows: int) -> DataFrame:
+    """(g, id, core, head, blocks): clusters of buckets or, where those have more pairs than their buckets together, each bucket.
+    There are at most `total` documents and `rows` members."""
     ties = members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
     clusters = connected_components(ties).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     length = texts.groupBy("id").agg(F.max(F.octet_length("text")).alias("bytes"))
-    sized = cut(clusters.join(length, "id"))
+    sized = cut(few(clusters.join(length, "id"), total))
     work = members.groupBy("key").agg(F.min("first").alias("id"), F.min("n").alias("n")).join(clusters, "id").groupBy("cluster").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
     counts = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).join(work, "cluster")
     blocks = _blocks("n", "bytes")
-    plans = cut(counts.select("cluster", "n", blocks.alias("blocks"), ((blocks > 1) & (F.col("work") < F.col("n").cast("double") * F.col("n"))).alias("apart")))
+    plans = cut(few(counts.select("cluster", "n", blocks.alias("blocks"), ((blocks > 1) & (F.col("work") < F.col("n").cast("double") * F.col("n"))).alias("apart")), total))
     planned = join_counted(sized, plans, ["cluster"], "n", ["id"])
     if plans.where("apart").isEmpty():
-        return cut(planned.select(F.col("cluster").alias("g"), "id", F.lit(True).alias("core"), F.col("cluster").alias("head"), "blocks"))
+        return cut(few(planned.select(F.col("cluster").alias("g"), "id", F.lit(True).alias("core"), F.col("cluster").alias("head"), "blocks"), total))
     whole = planned.where("not apart").select(F.col("cluster").alias("g"), "id", F.lit(True).alias("core"), F.col("cluster").alias("head"), "blocks")
-    apart = cut(members.select("key", "id", "core").join(planned.where("apart").select("id", "bytes"), "id"))
-    each = cut(apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"), F.min("id").alias("head")))
+    apart = cut(few(members.select("key", "id", "core").join(planned.where("apart").select("id", "bytes"), "id"), rows, KEY_ROWS))
+    each = cut(few(apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"), F.min("id").alias("head")), rows, KEY_ROWS))
     bucket = join_counted(apart, each, ["key"], "n", ["id"]).select(F.col("key").alias("g"), "id", "core", "head", _blocks("n", "size").alias("blocks"))
-    return cut(whole.union(bucket))
+    return cut(few(whole.union(bucket), total + rows, KEY_ROWS))
 
 
 def _block() -> Column:
@@ -295,9 +301,9 @@ def _alone(groups: DataFrame) -> DataFrame:
     return groups.select("g", F.explode(to).alias("i"), F.lit(-1).alias("j"), "id")
 
 
-def _crossed(groups: DataFrame) -> DataFrame:
-    """(g, i, j, id): lanes of core members, each with every block of the group."""
-    counts = cut(groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_if("core").alias("cores")))
+def _crossed(groups: DataFrame, rows: int) -> DataFrame:
+    """(g, i, j, id): lanes of core members, each with every block of the group; `groups` has at most `rows`."""
+    counts = cut(few(groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_if("core").alias("cores")), rows))
     rows = join_counted(groups, counts, ["g"], "n", ["id"]).withColumn("of", F.greatest(F.lit(1), F.ceil(F.col("cores") * F.col("blocks") / F.col("n"))).cast("int"))
     lane = F.pmod(F.xxhash64("id", F.lit(1)), F.col("of")).cast("int")
     pairs = F.concat(
@@ -307,15 +313,15 @@ def _crossed(groups: DataFrame) -> DataFrame:
     return rows.select("g", "id", F.explode(F.array_distinct(pairs)).alias("p")).select("g", "p.i", "p.j", "id")
 
 
-def _open(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """(g, id, core, blocks, rest): members of groups of several blocks that have members outside their largest component (core), `rest` of them."""
+def _open(groups: DataFrame, links: DataFrame, rows: int) -> DataFrame:
+    """(g, id, core, blocks, rest): members of groups of several blocks that have members outside their largest component (core), `rest` of them; `groups` has at most `rows`."""
     large = groups.where("blocks > 1")
     settled = connected_components(links.join(large.select(F.col("id").alias("a")).distinct(), "a", "left_semi"))
-    state = cut(large.join(settled.withColumnRenamed("node", "id"), "id", "left").select("g", "id", "blocks", F.coalesce("component", "id").alias("component")))
+    state = cut(few(large.join(settled.withColumnRenamed("node", "id"), "id", "left").select("g", "id", "blocks", F.coalesce("component", "id").alias("component")), rows))
     counts = state.groupBy("g", "component").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("g").agg(F.max(F.struct("n", F.col("component").alias("main"))).alias("top"), F.sum("n").alias("n")).where("n > top.n")
-    found = join_counted(state, cut(main.select("g", "n", "top.main", (F.col("n") - F.col("top.n")).alias("rest"))), ["g"], "n", ["id"])
-    return found.select("g", "id", (F.col("component") != F.col("main")).alias("core"), "blocks", "rest")
+    found = join_counted(state, cut(few(main.select("g", "n", "top.main", (F.col("n") - F.col("top.n")).alias("rest")), rows)), ["g"], "n", ["id"])
+    return few(found.select("g", "id", (F.col("component") != F.col("main")).alias("core"), "blocks", "rest"), rows)
 
 
 def _texts_sets(part: pa.RecordBatch) -> list[np.ndarray]:
@@ -369,26 +375,29 @@ def rare_shingles(rows: DataFrame, frequencies: np.ndarray) -> DataFrame:
     return rows.select("id", "outside", "text").mapInArrow(run, "key long, id long, core boolean, outside boolean")
 
 
-def _candidate_links(classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Confirmed links between classes (by their first ids)."""
-    members = _buckets(classes.select(F.explode("keys").alias("key"), "id", F.lit(True).alias("core")))
+def _candidate_links(classes: DataFrame, rows: DataFrame, total: int) -> DataFrame:
+    """Confirmed links between classes (by their first ids), of which there are at most `total`."""
+    members = _buckets(classes.select(F.explode("keys").alias("key"), "id", F.lit(True).alias("core")), BANDS * total)
     needed = classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "text_hash", "signature")
-    texts = cut(rows.select("id", "text_hash", "text").join(needed, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("id", "text", "signature"))
-    groups = _groups(members, texts)
+    texts = rows.select("id", "text_hash", "text").join(needed, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("id", "text", "signature")
+    texts = cut(few(texts, total, TEXT_ROWS))
+    groups = _groups(members, texts, total, BANDS * total)
     links = cut(_confirm(_alone(groups), texts))
     if groups.where("blocks > 1").isEmpty():
         return links
-    left = cut(_open(groups, links))
+    size = groups.count()
+    left = cut(_open(groups, links, size))
     # Documents outside meet all blocks while that sends no more than some rows for each candidate; beyond, groups with many of them are dealt anew.
     copies = F.ceil(F.col("rest") / BLOCK) + F.when(F.col("core"), F.col("blocks")).otherwise(0)
-    spare = left.agg(F.sum(copies)).first()[0] <= SPREAD * groups.count()
-    few = F.lit(True) if spare else F.col("rest") <= FEW * BLOCK
-    sizes = left.agg(F.count_if(few).alias("few"), F.count_if(~few).alias("many")).first()
+    spare = left.agg(F.sum(copies)).first()[0] <= SPREAD * size
+    meet = F.lit(True) if spare else F.col("rest") <= FEW * BLOCK
+    sizes = left.agg(F.count_if(meet).alias("few"), F.count_if(~meet).alias("many")).first()
     if sizes["few"]:
-        links = links.union(cut(_confirm(_crossed(left.where(few)), texts)))
+        links = links.union(cut(_confirm(_crossed(left.where(meet), size), texts)))
     if sizes["many"]:
-        outside = left.where(~few).groupBy("id").agg(F.bool_or("core").alias("outside"))
+        outside = left.where(~meet).groupBy("id").agg(F.bool_or("core").alias("outside"))
         keyed = cut(rare_shingles(texts.join(outside, "id"), sketch_frequencies(texts)))
-        anew = _groups(_buckets(keyed, "bool_or(core) and bool_or(outside)"), texts)
-        links = links.union(cut(_confirm(_crossed(anew), texts)))
+        n = keyed.count()
+        anew = _groups(_buckets(keyed, n, "bool_or(core) and bool_or(outside)"), texts, total, n)
+        links = links.union(cut(_confirm(_crossed(anew, total + n), texts)))
     return links

@@ -149,6 +149,25 @@ def test_signatures_of_long_unlike_sets_differ():
     assert (short[0] == short[1]).mean() < 0.05
 
 
+def test_near_duplicates_of_few_documents_take_few_tasks(spark):
+    """However many shuffle partitions there are: tables of a row for each document are read again and again."""
+    texts = [f"{' '.join(f'w{k}x{j}' for j in range(40))} end{c}" for k in range(40) for c in range(2)]
+    context, before = spark.sparkContext, {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 32)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context.setJobGroup("few-tasks", "near duplicates")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table(spark, list(enumerate(texts)))).collect()}
+        stages = {s for j in context.statusTracker().getJobIdsForGroup("few-tasks") for s in context.statusTracker().getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for s in stages if (i := context.statusTracker().getStageInfo(s)))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert got == {i: i - i % 2 for i in range(80)}
+    assert tasks < 1_200
+
+
 def test_components_with_hubs_and_null_ends(spark, monkeypatch):
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     try:
