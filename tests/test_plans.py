@@ -3,8 +3,12 @@
 import os
 import random
 import statistics
+import tracemalloc
+from collections import Counter
 from unittest.mock import MagicMock
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from py4j.protocol import Py4JError
 from pyspark.sql import functions as F
@@ -13,7 +17,7 @@ from arcflow.functions.rng import uniform_array
 from arcflow.graph import Graph
 from arcflow.operators import active, fixed, walk
 from arcflow.plans import cut
-from arcflow.plans.blocks import Block, Blocks, blocks_of
+from arcflow.plans.blocks import SHARE, Block, Blocks, Layout, blocks_of, pack
 from arcflow.plans.rounds import Rounds
 from arcflow.plans.spread import join_counted
 
@@ -120,6 +124,33 @@ def test_ranges_have_equal_shares(spark, out):
     g.release()
 
 
+def test_sums_received_are_in_a_range_s_share(spark):
+    """Also where there are more ranges than cores, each of which may send a node something."""
+    rng = random.Random(4)
+    g = Graph(spark.createDataFrame([(rng.randrange(2000), rng.randrange(2000)) for _ in range(40_000)], "src long, dst long"))
+    found = opened(blocks_of(g, share=4000))
+    received = Counter()
+    for b in found:
+        received.update(dict(zip(b.to.tolist(), np.diff(b.bounds).tolist(), strict=True)))
+    assert max(len(b.ids) + len(b.src) + received[b.label] for b in found) <= 4100
+    assert len(found) <= 2 * 80_000 / 4000
+    g.release()
+
+
+def test_a_range_packs_beside_others():
+    """Four cores pack a range each in half of the 4 GB that a heap of 6 GB leaves an executor of 10 GB."""
+    n, rng = 200_000, np.random.default_rng(2)
+    src, dst = np.sort(rng.integers(0, n // 10, n)), rng.integers(0, n, n)
+    node = np.concatenate([[True], src[1:] != src[:-1]])
+    rows = pa.table({"label": np.zeros(n, np.int64), "src": src, "dst": pa.array(dst, mask=node), "n": np.where(node, 0, 1), "degree": np.full(n, 9), "at": np.arange(n)})
+    layout = Layout(np.array([0]), np.array([True]), np.array([0]), np.array([0]))
+    tracemalloc.start()
+    block = pack(rows, layout, "ranking")
+    peak = tracemalloc.get_traced_memory()[1] + rows.nbytes + block.nbytes
+    tracemalloc.stop()
+    assert 4 * peak / n * SHARE < 2e9
+
+
 @pytest.mark.parametrize("out", [True, False])
 def test_hubs_in_all_loops(spark, out):
     g = half_star(spark, 80, out)
