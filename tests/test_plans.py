@@ -180,6 +180,24 @@ def plain_visits(g, length, replicas, seed=walk.SEED):
     return sorted(out.items())
 
 
+def test_walkers_of_a_range_move_some_at_a_time(monkeypatch):
+    """However many gather in one range; they visit what they visit together."""
+    n = 40
+    arrays = dict(ids=np.arange(n), home=np.ones(n, bool), degree=np.where(np.arange(n) == 7, 0, 1), src=np.delete(np.arange(n), 7), at=np.zeros(n - 1, np.int64), tgt=np.zeros(n - 1, np.int64), dst=np.array([7]))
+    layout = Layout(np.array([0]), np.array([True]), np.array([0]), np.array([0]))
+
+    def visited():
+        found = walk._Walk(Block(0, **arrays), layout, np.zeros(n, np.int64), 30, walk.SEED, 0.85)
+        found.move(np.arange(n), np.full(n, 7), np.zeros(n, np.int64))
+        return found.visits.tolist()
+
+    want, moved = visited(), []
+    move = walk._Walk._move
+    monkeypatch.setattr(walk, "TOGETHER", 9)
+    monkeypatch.setattr(walk._Walk, "_move", lambda self, source, *x: moved.append(len(source)) or move(self, source, *x))
+    assert visited() == want and sum(want) == 30 * n and moved == [9, 9, 9, 9, 4]
+
+
 def test_no_round_moves_a_block(spark):
     """Only mail is exchanged: where blocks are read, their partitions are those of the round."""
     g = star(spark)
